@@ -33,8 +33,8 @@ IGNORABLE = [
     (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0),
     (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
-BLANKS = "\t                　"
-BREAKS = "\u000b\u000c\u0085  \r"
+BLANKS = "\t \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BREAKS = "\u000b\u000c\u0085\u2028\u2029\r"
 
 _DROP = {c: None for a, b in IGNORABLE for c in range(a, b + 1)}
 _MAP = {ord(c): " " for c in BLANKS} | {ord(c): "\n" for c in BREAKS} | {ord(k): v for k, v in LOOK_ALIKE.items()}
@@ -52,16 +52,16 @@ def reader_form(text: str) -> str:
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ").replace("\v", "\n").replace("\f", "\n")
     kept = None
-    if any(c in text for c in "‍️"):
+    if any(c in text for c in "\u200d\ufe0f"):
         # A joiner between two pictographs and a variation selector before one are part of what is seen.
         kept = [
-            "" if c == "‍" and 0 < i < len(text) - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1]) else c for i, c in enumerate(text)
+            "\ue000" if c == "\u200d" and 0 < i < len(text) - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1]) else c for i, c in enumerate(text)
         ]
         text = "".join(kept)
     text = text.replace("\r\n", "\n").translate(_DROP)
     text = unicodedata.normalize("NFKC", text.translate(_MAP))
     text = unicodedata.normalize("NFKC", text.translate(_TABLE))
-    return text.replace("", "‍") if kept else text
+    return text.replace("\ue000", "\u200d") if kept else text
 
 
 def canonical_form(text: str) -> str:
