@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_canonical", "q_terms", "q_leakage", "q_mixing", "q_sentences"]
+MODULES = ["q_canonical", "q_terms", "q_leakage", "q_mixing", "q_sentences", "q_languages"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
