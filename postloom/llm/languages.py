@@ -210,7 +210,7 @@ class Decider:
         return out
 
 
-MIN_WORDS, MIN_CONFIDENCE = 3, 0.12
+MIN_WORDS, MIN_CONFIDENCE = 4, 0.12
 
 
 def decide(segments: list[tuple[int, int, str | None, float, int]]) -> dict[str, float]:
@@ -228,7 +228,7 @@ def decide(segments: list[tuple[int, int, str | None, float, int]]) -> dict[str,
     return out
 
 
-def agreeing(df: DataFrame, built: dict, id_col: str, text: str, label: str, part: float = 0.6) -> DataFrame:
+def agreeing(df: DataFrame, built: dict, id_col: str, text: str, label: str, part: float = 0.5) -> DataFrame:
     """text and lang of the rows whose label names one language in which at least ``part`` of their segments are, too.
 
     They teach the filter words that the first reference lacks, while wrong labels are left out.
