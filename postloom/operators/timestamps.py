@@ -39,7 +39,7 @@ LOCAL_LETTERS = {
 _ZONE = r"Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5}|[A-Z][A-Za-z]+(?:/[A-Za-z_+-]+)+"
 _MONTH = "|".join(MONTHS)
 _DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
-_BLANKS = "    　\t"
+_BLANKS = "\u00a0\u2007\u2009\u202f\u3000\t"
 
 
 def _clock(p: str) -> str:
@@ -79,6 +79,11 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return era * 146097 + yoe * 365 + whole(yoe, F.lit(4)) - whole(yoe, F.lit(100)) + doy - 719468
 
 
+def _pin(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """df with further columns, made by a generator that gives one row per row."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
 def known_zones(spark: SparkSession) -> list[str]:
     """The zone names that the session's JVM has rules for (some hundred)."""
     return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
@@ -97,13 +102,15 @@ def parse_stamps(df: DataFrame, stamps: list[str], zone: str, order: str) -> Dat
     numeric = r"^(?i:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$"
 
     for s in stamps:
-        # Each step is its own projection: what is used more than once is computed once, and no expression grows large.
-        t = {k: F.col(f"_{s}_{k}") for k in ("c", *_PARTS, "month", "day", "hour", "wall", "shift", "named")}
-        put = lambda **cols: df.withColumns({f"_{s}_{k}": v for k, v in cols.items()})  # noqa: E731, B023
+        # Each step is pinned by a generator of one row: what is used more than once is computed once, and neither merged
+        # projections nor pushed-down filters can copy the expressions into each other.
+        t = {k: F.col(f"_{s}_{k}") for k in ("text", "line", "c", *_PARTS, "month", "day", "hour", "wall", "shift", "named")}
+        put = lambda **cols: _pin(df, {f"_{s}_{k}": v for k, v in cols.items()})  # noqa: E731, B023
         text = F.translate(F.col(s).cast("string"), _BLANKS, " " * len(_BLANKS))
         # Without a match the text comes back unchanged and is not taken apart.
-        df = put(c=F.when(text.rlike(r"\d"), F.regexp_replace(text, PATTERN, _template())))
-        df = put(c=F.when(t["c"].rlike(r"^(?:[^|]*\|){11}$"), F.split(t["c"], r"\|")))
+        df = put(text=text)
+        df = put(line=F.when(t["text"].rlike(r"\d"), F.regexp_replace(t["text"], PATTERN, _template())))
+        df = put(c=F.when(t["line"].rlike(r"^(?:[^|]*\|){11}$"), F.split(t["line"], r"\|")))
         cell = {p: F.nullif(F.get(t["c"], F.lit(i)), blank) for i, p in enumerate(_PARTS)}
         df = put(**{p: cell[p].cast("bigint") if p in ("y", "d", "h", "n", "s", "i", "j") else cell[p] for p in _PARTS})
         slash, dmy, mdy = t["i"].isNotNull(), F.col(order) == "dmy", F.col(order) == "mdy"
@@ -133,12 +140,13 @@ def parse_stamps(df: DataFrame, stamps: list[str], zone: str, order: str) -> Dat
         ruled = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(t["wall"]), F.when(t["named"].isin(zones), t["named"])))
         digits = F.length(t["epoch"])
         per = F.when(digits <= 10, 1).when(digits <= 13, 1000).when(digits <= 16, 1000000).otherwise(1000000000)
-        df = df.withColumns(
+        df = _pin(
+            df,
             {
                 f"{s}_epoch": F.when(t["epoch"].isNotNull(), F.floor(t["epoch"].cast("decimal(20,0)") / per.cast("decimal(10,0)")).cast("bigint"))
                 .when(t["named"].isNotNull(), ruled).otherwise(t["wall"] - t["shift"]),
                 f"{s}_unit": F.when(t["epoch"].isNotNull() | t["s"].isNotNull(), "second").when(t["h"].isNotNull(), "minute"),
-            }
+            },
         ).drop(*[f"_{s}_{k}" for k in t])
     return df
 
