@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.canonical import canonical_form, reader_form
+from postloom.session import materialise
 
 LANGUAGES = ["en", "tl", "ceb", "ilo", "es"]
 SLOTS, HASHES = 1 << 21, 3
@@ -83,41 +84,63 @@ def label_set(col: Column) -> Column:
     return F.when(F.size(flat) > 0, flat)
 
 
+def _per_segment(texts: pd.Series) -> Iterator[tuple[list[str], int]]:
+    """The words of each distinct segment of some texts, and how often the segment occurs."""
+    seen: Counter = Counter()
+    for t, n in Counter(texts).items():
+        t = reader_form(t)
+        for a, b in segments_of(t):
+            seen[t[a:b]] += n
+    for segment, n in seen.items():
+        yield words_of(segment), n
+
+
 def build_filter(reference: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """The filter from a reference table with one language per row: slots (SLOTS bytes), false-positive rate per language.
 
-    Counting is one aggregation per n-gram over the whole reference, after counting inside each partition. What reaches the
-    driver is the filter: per-partition filters are OR-ed in slices first.
+    Words and pairs are counted over the whole reference, first inside each partition and once per distinct segment; the
+    letter runs of a word are counted from the words' counts. What reaches the driver is the filter: per-partition
+    filters are OR-ed in slices first.
     """
     index = {v: i for i, v in enumerate(LANGUAGES)}
     cols = [f"c{i}" for i in range(len(LANGUAGES))]
+    longs = ", ".join(f"{c} long" for c in cols)
+
+    def table(seen: dict[str, list[int]]) -> pd.DataFrame:
+        return pd.DataFrame([(g, *c) for g, c in seen.items()], columns=["gram", *cols])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(g, *c) for g, c in seen.items()], columns=["gram", *cols])
-
         for b in batches:
-            ngrams: list[Counter] = [Counter() for _ in LANGUAGES]
-            for t, lng in zip(b[text], b[lang], strict=True):
-                c, t = ngrams[index[lng]], reader_form(t)
-                for x, y in segments_of(t):
-                    w = words_of(t[x:y])
-                    c.update(w)
-                    c.update(f"{p} {q}" for p, q in zip(w, w[1:], strict=False))
-            for i, c in enumerate(ngrams):
-                for w, n in c.items():
-                    for g in (w,) if " " in w else _grams(w):
+            for lng, part in b.groupby(lang):
+                i = index[lng]
+                for w, n in _per_segment(part[text]):
+                    for g in (*w, *(f"{p} {q}" for p, q in zip(w, w[1:], strict=False))):
                         seen.setdefault(g, [0] * len(LANGUAGES))[i] += n
             if len(seen) > 300_000:
-                yield out()
+                yield table(seen)
+                seen.clear()
+        if seen:
+            yield table(seen)
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[int]] = {}
+        for b in batches:
+            for g, *c in b.itertuples(index=False, name=None):
+                for x in (g,) if " " in g else _grams(g):
+                    have = seen.setdefault(x, [0] * len(LANGUAGES))
+                    for i, n in enumerate(c):
+                        have[i] += n
+            if len(seen) > 300_000:
+                yield table(seen)
                 seen.clear()
         if seen:
-            yield out()
+            yield table(seen)
 
+    sums = [F.sum(c).alias(c) for c in cols]
     rows = reference.where(F.col(text).isNotNull() & F.col(lang).isin(LANGUAGES)).select(text, lang)
-    grams = rows.mapInPandas(count, "gram string, " + ", ".join(f"{c} long" for c in cols)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in cols])
+    words = rows.mapInPandas(count, f"gram string, {longs}").groupBy("gram").agg(*sums)
+    grams = materialise(words.mapInPandas(runs, f"gram string, {longs}").groupBy("gram").agg(*sums), "ngrams")
     totals = [float(x or 0) for x in grams.agg(*[F.sum(c) for c in cols]).first()]
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,6 +181,7 @@ class Decider:
         self.slots = np.frombuffer(zlib.decompress(built["slots"]), np.uint8)
         self.false = np.array(built["false"])
         self.words: dict[str, tuple[np.ndarray, int, int]] = {}
+        self.known: dict[str, tuple[str | None, float, int] | None] = {}
 
     def _mask(self, gram: str) -> int:
         m = 255
@@ -196,18 +220,30 @@ class Decider:
             return hits, 0
         return np.clip((hits / n - self.false) / (1 - self.false), 0, 1), known
 
+    def segment(self, piece: str) -> tuple[str | None, float, int] | None:
+        """Language, confidence and known words of one segment; None without words. Repeated segments are decided once."""
+        got = self.known.get(piece, 0)
+        if got == 0:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            w = words_of(piece)
+            got = None
+            if w:
+                s, known = self.score(w)
+                best, at, next_ = -1.0, 0, -1.0
+                for i, x in enumerate(s.tolist()):
+                    if x > best:
+                        best, at, next_ = x, i, best
+                    elif x > next_:
+                        next_ = x
+                got = (LANGUAGES[at] if best > 0 else None, float(best - next_) * min(1.0, known / 4), known)
+            self.known[piece] = got
+        return got
+
     def segments(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
         """begin, end, language, confidence and known words of each segment with words; places are those in the reader's form."""
-        out = []
         text = reader_form(text)
-        for a, b in segments_of(text):
-            w = words_of(text[a:b])
-            if w:
-                s, known = self.score(w)
-                order = np.argsort(-s, kind="stable")
-                best, next_ = s[order[0]], s[order[1]]
-                out.append((a, b, LANGUAGES[order[0]] if best > 0 else None, float(best - next_) * min(1.0, known / 4), known))
-        return out
+        return [(a, b, *got) for a, b in segments_of(text) if (got := self.segment(text[a:b])) is not None]
 
 
 MIN_WORDS, MIN_CONFIDENCE = 4, 0.12
@@ -228,31 +264,39 @@ def decide(segments: list[tuple[int, int, str | None, float, int]]) -> dict[str,
     return out
 
 
-def agreeing(df: DataFrame, built: dict, id_col: str, text: str, label: str, part: float = 0.5) -> DataFrame:
-    """text and lang of the rows whose label names one language in which at least ``part`` of their segments are, too.
+def agreeing(df: DataFrame, built: dict, text: str, label: str, part: float = 0.5) -> DataFrame:
+    """text and lang of the rows whose label (a sorted array of languages) names one language in which at least ``part`` of
+    their segments are, too. They teach the filter words that the first reference lacks, while wrong labels are left out."""
 
-    They teach the filter words that the first reference lacks, while wrong labels are left out.
-    """
-    d = df.join(detect(df, built, id_col, text), id_col).withColumn("_l", label_set(F.col(label)))
-    same = F.size(F.filter("segments", lambda x: x["lang"] == F.col("_l")[0]))
-    return d.where((F.size("_l") == 1) & (same > 0) & (same >= part * F.size("segments"))).select(F.col(text).alias("text"), F.col("_l")[0].alias("lang"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = Decider(built)
+        for b in batches:
+            keep = []
+            for t, lang in zip(b[text], b["lang"], strict=True):
+                s = d.segments(t)
+                keep.append(bool(s) and sum(x[2] == lang for x in s) >= part * len(s))
+            yield b[keep]
+
+    one = df.where((F.size(label) == 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label)[0].alias("lang"))
+    return one.mapInPandas(run, "text string, lang string")
 
 
-def detect(df: DataFrame, built: dict, id_col: str, text: str) -> DataFrame:
-    """id, ``segments`` (begin, end, lang, confidence), ``langs`` (sorted), ``confidence`` (of the least sure of them)."""
+def detect(df: DataFrame, built: dict, text: str, keep: list[str], with_segments: bool = False) -> DataFrame:
+    """The columns ``keep``, ``langs`` (sorted, joined by ``+``, empty if none), ``confidence`` (of the least sure of them)
+    and, if asked for, ``segments`` (begin, end, lang, confidence)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = Decider(built)
         for b in batches:
-            codes, values = pd.factorize(b[text])
-            done = []
-            for v in values:
-                s = d.segments(v)
-                langs = decide(s)
-                done.append(([{"begin": x[0], "end": x[1], "lang": x[2], "confidence": x[3]} for x in s], sorted(langs), min(langs.values(), default=None)))
-            none = ([], [], None)
-            rows = [done[c] if c >= 0 else none for c in codes]
-            yield pd.DataFrame({id_col: b[id_col], "segments": [r[0] for r in rows], "langs": [r[1] for r in rows], "confidence": [r[2] for r in rows]})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, segments array<struct<begin:int,end:int,lang:string,confidence:double>>, langs array<string>, confidence double")
+            out = b[keep].copy()
+            rows = [d.segments(t) if isinstance(t, str) else [] for t in b[text]]
+            langs = [decide(s) for s in rows]
+            out["langs"] = ["+".join(sorted(x)) for x in langs]
+            out["confidence"] = [min(x.values(), default=None) for x in langs]
+            if with_segments:
+                out["segments"] = [[{"begin": x[0], "end": x[1], "lang": x[2], "confidence": x[3]} for x in s] for s in rows]
+            yield out
+
+    more = ", langs string, confidence double" + (", segments array<struct<begin:int,end:int,lang:string,confidence:double>>" if with_segments else "")
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keep) + more
+    return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)

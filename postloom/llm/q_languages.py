@@ -12,13 +12,14 @@ from postloom.session import spread
 MIN_POST_WORDS = 4
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _detected(spark: SparkSession, sf_dir: str, with_segments: bool = False) -> DataFrame:
     """Posts with label and detected languages. The reference is the documents with one known language and, once a filter
     made of them agrees with their label, the posts themselves."""
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id").select("text", "lang")
     posts = spread(table(spark, sf_dir, "golden_input", "row_id", "text", "lang_label"), "row_id")
-    built = build_filter(docs.unionByName(agreeing(posts, build_filter(docs), "row_id", "text", "lang_label")))
-    return posts.join(detect(posts, built, "row_id", "text"), "row_id")
+    posts = posts.select("row_id", "text", label_set(F.col("lang_label")).alias("label"), _n_words().alias("n_words"))
+    built = build_filter(docs.unionByName(agreeing(posts, build_filter(docs), "text", "label")))
+    return detect(posts.withColumn("label", F.array_join("label", "+")), built, "text", ["row_id", "label", "n_words"], with_segments)
 
 
 def _n_words():
@@ -27,19 +28,19 @@ def _n_words():
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _detected(spark, sf_dir).where(_n_words() >= MIN_POST_WORDS)
-    wrong = d.where((F.size("langs") > 0) & (label_set(F.col("lang_label")).isNull() | (label_set(F.col("lang_label")) != F.col("langs"))))
-    return wrong.select("row_id", F.explode("langs").alias("lang"))
+    d = _detected(spark, sf_dir).where((F.col("n_words") >= MIN_POST_WORDS) & (F.col("langs") != ""))
+    wrong = d.where(F.col("label").isNull() | (F.col("label") != F.col("langs")))
+    return wrong.select("row_id", F.explode(F.split("langs", r"\+")).alias("lang"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post with its languages and confidence."""
-    return _detected(spark, sf_dir).select("row_id", F.array_join("langs", "+").alias("langs"), F.round("confidence", 4).alias("confidence"))
+    return _detected(spark, sf_dir).select("row_id", "langs", F.round("confidence", 4).alias("confidence"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every post with its language and confidence."""
-    d = _detected(spark, sf_dir).select("row_id", F.posexplode("segments").alias("pos", "s"))
+    d = _detected(spark, sf_dir, True).select("row_id", F.posexplode("segments").alias("pos", "s"))
     return d.select("row_id", (F.col("pos") + 1).alias("segment_no"), "s.begin", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
 
