@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_canonical", "q_terms", "q_leakage", "q_mixing", "q_sentences", "q_languages", "q_content"]
+MODULES = ["q_canonical", "q_terms", "q_leakage", "q_mixing", "q_sentences", "q_languages", "q_content", "q_personal"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
