@@ -13,11 +13,14 @@ one plain blank each; joiners inside emoji sequences stay, since they change wha
 from __future__ import annotations
 
 import unicodedata
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.session import materialise
+
 # Letters of other scripts that look like a Latin letter.
 LOOK_ALIKE = dict(
     zip(
@@ -86,21 +89,38 @@ def reader(col: Column | str) -> Column:
     return F.pandas_udf(_per_distinct(reader_form), "string")(col)
 
 
+_DIGESTS = "struct<stored:binary,seen:binary,key:binary>"
+
+
+def _digests(s: pd.Series) -> pd.DataFrame:
+    """128-bit digests of the stored text, the reader's form and the canonical form, once per distinct value."""
+    codes, values = pd.factorize(s, use_na_sentinel=True)
+    done = []
+    for v in values:
+        seen = reader_form(v)
+        key = seen.casefold()
+        if not key.isascii():
+            key = unicodedata.normalize("NFKC", key)
+        stored_digest = md5(v.encode("utf-8", "surrogatepass")).digest()
+        seen_digest = stored_digest if seen == v else md5(seen.encode("utf-8", "surrogatepass")).digest()
+        done.append((stored_digest, seen_digest, md5(key.encode("utf-8", "surrogatepass")).digest()))
+    done.append((None, None, None))  # code -1: null
+    return pd.DataFrame([done[c] for c in codes], columns=["stored", "seen", "key"])
+
+
 def same_reading_pairs(df: DataFrame, id_col: str, text_col: str, hot: int = 20_000) -> DataFrame:
     """Pairs (a, b), a < b, of rows whose texts differ as stored but show a reader the same.
 
-    Candidates are the rows with equal canonical form; the exact check compares the reader's form, which keeps case. Only
-    128-bit digests are shuffled, and rows whose canonical form has one stored spelling only are gone before the pairing.
-    Pairs are formed by an equi-join on the two forms; a form with more than ``hot`` rows is split over salts, its other
-    side repeated once per salt, so that no task holds such a group whole.
+    Candidates are the rows with equal canonical form; the exact check compares the reader's form, which keeps case. Texts
+    are read once; only their 128-bit digests are kept (in the shared folder), and rows whose form has one stored spelling
+    only are gone before the pairing. Pairs are formed by an equi-join on the two forms; a form with more than ``hot`` rows
+    is split over salts, its other side repeated once per salt, so that no task holds such a group whole.
     """
-    forms = df.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("stored"), reader(text_col).alias("seen"), canonical(text_col).alias("key")
-    )
-    digests = forms.select("id", "stored", F.md5("seen").alias("seen"), F.md5("key").alias("key"))
+    digest = F.pandas_udf(_digests, _DIGESTS)
+    digests = materialise(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), digest(text_col).alias("d")).select("id", "d.*"), "digests")
     groups = digests.groupBy("key", "seen").agg(F.count("*").alias("n"), F.min("stored").alias("lo"), F.max("stored").alias("hi"))
     groups = groups.where("lo <> hi").select("key", "seen", (F.floor(F.col("n") / hot) + 1).cast("int").alias("salts"))
-    rows = digests.join(groups, ["key", "seen"])
+    rows = materialise(digests.join(groups, ["key", "seen"]), "spelled-apart")
     a = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select("key", "seen", "salt", F.col("id").alias("a"), F.col("stored").alias("sa"))
     b = rows.select("key", "seen", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("stored").alias("sb"))
     return a.join(b, ["key", "seen", "salt"]).where("a < b AND sa <> sb").select("a", "b")

@@ -31,6 +31,7 @@ from postloom.session import materialise
 LANGUAGES = ["en", "tl", "ceb", "ilo", "es"]
 SLOTS, HASHES = 1 << 21, 3
 MIN_COUNT, MIN_PART, KEEP = 3, 0.15, 1e-6
+_BITS, _FULL = 24, (1 << 24) - 1  # of a packed count
 
 # What the labels that come with posts mean.
 LABELS = {
@@ -49,9 +50,23 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CUT = re.compile(r"(?<=[!?])\s+|(?<=[.…])\s+(?![a-z])|\n+|(?<=[!?])(?=[^\W\d_])|(?<=[a-z]{2}\.)(?=[A-Z])")
 
 
-def words_of(text: str) -> list[str]:
-    """The words that can tell a language: not addresses, tags, mentions or tokens with figures."""
-    return _WORD.findall(_SKIP.sub(" ", canonical_form(text)))
+_SIGNS = re.compile(r"[\d@#]|www|\(at|\[at")
+_FIGURES = str.maketrans("123456789", "000000000")
+
+
+def words_of(piece: str) -> list[str]:
+    """The words of a piece of readable text that can tell a language: not addresses, tags, mentions or tokens with figures."""
+    t = piece.casefold()
+    if not t.isascii():
+        t = canonical_form(t)
+    return _WORD.findall(_SKIP.sub(" ", t) if _SIGNS.search(t) else t)
+
+
+def plain_piece(piece: str) -> str:
+    """A piece without its leading tag and with all figures alike: pieces that are equal in this form hold the same words."""
+    if piece.startswith("#"):
+        piece = piece.partition(" ")[2]
+    return piece.translate(_FIGURES)
 
 
 def segments_of(text: str) -> Iterator[tuple[int, int]]:
@@ -90,63 +105,81 @@ def _per_segment(texts: pd.Series) -> Iterator[tuple[list[str], int]]:
     for t, n in Counter(texts).items():
         t = reader_form(t)
         for a, b in segments_of(t):
-            seen[t[a:b]] += n
+            seen[plain_piece(t[a:b])] += n
     for segment, n in seen.items():
         yield words_of(segment), n
 
 
-def build_filter(reference: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """The filter from a reference table with one language per row: slots (SLOTS bytes), false-positive rate per language.
+_COLS = [f"c{i}" for i in range(len(LANGUAGES))]
+_COUNTS = "gram string, " + ", ".join(f"{c} long" for c in _COLS)
+_INDEX = {v: i for i, v in enumerate(LANGUAGES)}
 
-    Words and pairs are counted over the whole reference, first inside each partition and once per distinct segment; the
-    letter runs of a word are counted from the words' counts. What reaches the driver is the filter: per-partition
-    filters are OR-ed in slices first.
-    """
-    index = {v: i for i, v in enumerate(LANGUAGES)}
-    cols = [f"c{i}" for i in range(len(LANGUAGES))]
-    longs = ", ".join(f"{c} long" for c in cols)
 
-    def table(seen: dict[str, list[int]]) -> pd.DataFrame:
-        return pd.DataFrame([(g, *c) for g, c in seen.items()], columns=["gram", *cols])
+class _Counts:
+    """Counts per n-gram and language inside one partition."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, list[int]] = {}
+
+    def add(self, words: list[str], i: int, n: int) -> None:
+        for g in (*words, *map(" ".join, zip(words, words[1:], strict=False))):
+            have = self.seen.get(g)
+            if have is None:
+                have = self.seen[g] = [0] * len(LANGUAGES)
+            have[i] += n
+
+    def out(self, least: int = 0) -> Iterator[pd.DataFrame]:
+        if len(self.seen) > least:
+            yield pd.DataFrame([(g, *c) for g, c in self.seen.items()], columns=["gram", *_COLS])
+            self.seen.clear()
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COLS])
+
+
+def count_words(reference: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Words and pairs of words per language of a table with one language per row, over all its rows: counted inside each
+    partition first, once per distinct segment."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
+        c = _Counts()
         for b in batches:
             for lng, part in b.groupby(lang):
-                i = index[lng]
                 for w, n in _per_segment(part[text]):
-                    for g in (*w, *(f"{p} {q}" for p, q in zip(w, w[1:], strict=False))):
-                        seen.setdefault(g, [0] * len(LANGUAGES))[i] += n
-            if len(seen) > 300_000:
-                yield table(seen)
-                seen.clear()
-        if seen:
-            yield table(seen)
+                    c.add(w, _INDEX[lng], n)
+            yield from c.out(300_000)
+        yield from c.out()
+
+    rows = reference.where(F.col(text).isNotNull() & F.col(lang).isin(LANGUAGES)).select(text, lang)
+    return _summed(rows.mapInPandas(count, _COUNTS))
+
+
+def build_filter(words: DataFrame) -> dict:
+    """The filter from counts of words and pairs: slots (SLOTS bytes) and the false-positive rate of each language.
+
+    The letter runs of a word are counted from the words' counts. What reaches the driver is the filter: per-partition
+    filters are OR-ed in slices first.
+    """
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
+        c = _Counts()
         for b in batches:
-            for g, *c in b.itertuples(index=False, name=None):
+            for g, *n in b.itertuples(index=False, name=None):
                 for x in (g,) if " " in g else _grams(g):
-                    have = seen.setdefault(x, [0] * len(LANGUAGES))
-                    for i, n in enumerate(c):
-                        have[i] += n
-            if len(seen) > 300_000:
-                yield table(seen)
-                seen.clear()
-        if seen:
-            yield table(seen)
-
-    sums = [F.sum(c).alias(c) for c in cols]
-    rows = reference.where(F.col(text).isNotNull() & F.col(lang).isin(LANGUAGES)).select(text, lang)
-    words = rows.mapInPandas(count, f"gram string, {longs}").groupBy("gram").agg(*sums)
-    grams = materialise(words.mapInPandas(runs, f"gram string, {longs}").groupBy("gram").agg(*sums), "ngrams")
-    totals = [float(x or 0) for x in grams.agg(*[F.sum(c) for c in cols]).first()]
+                    have = c.seen.setdefault(x, [0] * len(LANGUAGES))
+                    for i, k in enumerate(n):
+                        have[i] += k
+            yield from c.out(300_000)
+        yield from c.out()
+
+    grams = materialise(_summed(_summed(words).mapInPandas(runs, _COUNTS)), "ngrams")
+    totals = [float(x or 0) for x in grams.agg(*[F.sum(c) for c in _COLS]).first()]
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, n = np.zeros(SLOTS, np.uint8), 0
         for b in batches:
-            c = b[cols].to_numpy(np.float64)
+            c = b[_COLS].to_numpy(np.float64)
             rate = c / np.maximum(totals, 1.0)
             member = (c >= MIN_COUNT) & (rate >= KEEP / 10) & (rate >= MIN_PART * rate.max(axis=1, keepdims=True))
             masks = (member * (1 << np.arange(len(LANGUAGES)))).sum(axis=1).astype(np.uint8)
@@ -179,8 +212,8 @@ class Decider:
 
     def __init__(self, built: dict):
         self.slots = np.frombuffer(zlib.decompress(built["slots"]), np.uint8)
-        self.false = np.array(built["false"])
-        self.words: dict[str, tuple[np.ndarray, int, int]] = {}
+        self.false = built["false"]
+        self.words: dict[str, int] = {}
         self.known: dict[str, tuple[str | None, float, int] | None] = {}
 
     def _mask(self, gram: str) -> int:
@@ -189,39 +222,39 @@ class Decider:
             m &= int(self.slots[s])
         return m
 
-    def _word(self, word: str) -> tuple[np.ndarray, int, int]:
-        """Hits per language, n-grams known, and the languages of the whole word (or pair)."""
+    def _word(self, word: str) -> int:
+        """Hits per language, n-grams known and whether the whole word (or pair) is known, packed into one integer, so that
+        the counts of many words are added at once."""
         got = self.words.get(word)
         if got is None:
             if len(self.words) > 300_000:
                 self.words.clear()
             pair = " " in word
-            masks = [self._mask(g) for g in ((word,) if pair else _grams(word))]
-            # A whole word or a pair of words says more than one of its letter runs.
-            weights = [4] if pair else [4, *[1] * (len(masks) - 1)]
-            hits = np.array([sum(w * (m >> i & 1) for m, w in zip(masks, weights, strict=True)) for i in range(len(LANGUAGES))], np.float64)
-            known = sum(w for m, w in zip(masks, weights, strict=True) if m) if masks[0] else 0
-            got = self.words[word] = (hits if known else hits * 0, known, masks[0])
+            first = self._mask(word if pair else f"<{word}>")
+            got = 0
+            if first:
+                # A whole word or a pair of words says more than one of its letter runs.
+                masks = [(first, 4)] + ([] if pair else [(self._mask(g), 1) for g in _grams(word)[1:]])
+                for i in range(len(LANGUAGES)):
+                    got += sum(w for m, w in masks if m >> i & 1) << _BITS * i
+                got += sum(w for m, w in masks if m) << _BITS * len(LANGUAGES)
+                got += (0 if pair else 1) << _BITS * (len(LANGUAGES) + 1)
+            self.words[word] = got
         return got
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, int]:
+    def score(self, words: list[str]) -> tuple[list[float], int]:
         """The corrected share of n-grams in each language, and how many words are known."""
-        hits, n, known = np.zeros(len(LANGUAGES)), 0, 0
-        for w in words:
-            h, k, m = self._word(w)
-            hits += h
-            n += k
-            known += m != 0
-        for p in zip(words, words[1:], strict=False):
-            h, k, _ = self._word(" ".join(p))
-            hits += h
-            n += k
+        word = self._word
+        total = sum(map(word, words)) + sum(map(word, map(" ".join, zip(words, words[1:], strict=False))))
+        n = total >> _BITS * len(LANGUAGES) & _FULL
         if not n:
-            return hits, 0
-        return np.clip((hits / n - self.false) / (1 - self.false), 0, 1), known
+            return [0.0] * len(LANGUAGES), 0
+        shares = [((total >> _BITS * i & _FULL) / n - f) / (1 - f) for i, f in enumerate(self.false)]
+        return [min(1.0, max(0.0, x)) for x in shares], total >> _BITS * (len(LANGUAGES) + 1)
 
     def segment(self, piece: str) -> tuple[str | None, float, int] | None:
-        """Language, confidence and known words of one segment; None without words. Repeated segments are decided once."""
+        """Language, confidence and known words of one segment; None without words. Segments of the same words are decided once."""
+        piece = plain_piece(piece)
         got = self.known.get(piece, 0)
         if got == 0:
             if len(self.known) > 200_000:
@@ -230,13 +263,8 @@ class Decider:
             got = None
             if w:
                 s, known = self.score(w)
-                best, at, next_ = -1.0, 0, -1.0
-                for i, x in enumerate(s.tolist()):
-                    if x > best:
-                        best, at, next_ = x, i, best
-                    elif x > next_:
-                        next_ = x
-                got = (LANGUAGES[at] if best > 0 else None, float(best - next_) * min(1.0, known / 4), known)
+                best, next_ = sorted(s, reverse=True)[:2]
+                got = (LANGUAGES[s.index(best)] if best > 0 else None, (best - next_) * min(1.0, known / 4), known)
             self.known[piece] = got
         return got
 
@@ -264,21 +292,28 @@ def decide(segments: list[tuple[int, int, str | None, float, int]]) -> dict[str,
     return out
 
 
-def agreeing(df: DataFrame, built: dict, text: str, label: str, part: float = 0.5) -> DataFrame:
-    """text and lang of the rows whose label (a sorted array of languages) names one language in which at least ``part`` of
-    their segments are, too. They teach the filter words that the first reference lacks, while wrong labels are left out."""
+def count_agreeing(df: DataFrame, built: dict, text: str, label: str, part: float = 0.5) -> DataFrame:
+    """Word counts of the rows whose label (a sorted array of languages) names one language in which at least ``part`` of
+    their segments are, too. They teach the filter words that the first reference lacks; wrong labels are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = Decider(built)
+        d, c = Decider(built), _Counts()
         for b in batches:
-            keep = []
+            held: dict[str, Counter] = {}
             for t, lang in zip(b[text], b["lang"], strict=True):
-                s = d.segments(t)
-                keep.append(bool(s) and sum(x[2] == lang for x in s) >= part * len(s))
-            yield b[keep]
-
-    one = df.where((F.size(label) == 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label)[0].alias("lang"))
-    return one.mapInPandas(run, "text string, lang string")
+                t = reader_form(t)
+                pieces = [t[x:y] for x, y in segments_of(t)]
+                decided = [got for p in pieces if (got := d.segment(p)) is not None]
+                if decided and sum(x[0] == lang for x in decided) >= part * len(decided):
+                    held.setdefault(lang, Counter()).update(map(plain_piece, pieces))
+            for lang, pieces in held.items():
+                for p, n in pieces.items():
+                    c.add(words_of(p), _INDEX[lang], n)
+            yield from c.out(300_000)
+        yield from c.out()
+
+    one = df.where((F.size(label) == 1) & F.col(text).isNotNull()).select(F.col(text).alias(text), F.col(label)[0].alias("lang"))
+    return _summed(one.mapInPandas(run, _COUNTS))
 
 
 def detect(df: DataFrame, built: dict, text: str, keep: list[str], with_segments: bool = False) -> DataFrame:

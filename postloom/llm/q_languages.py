@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.io import table
-from postloom.llm.languages import agreeing, build_filter, detect, label_set
-from postloom.session import spread
+from postloom.llm.languages import build_filter, count_agreeing, count_words, detect, label_set
+from postloom.session import materialise, spread
 
 MIN_POST_WORDS = 4
 
@@ -18,7 +18,8 @@ def _detected(spark: SparkSession, sf_dir: str, with_segments: bool = False) ->
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id").select("text", "lang")
     posts = spread(table(spark, sf_dir, "golden_input", "row_id", "text", "lang_label"), "row_id")
     posts = posts.select("row_id", "text", label_set(F.col("lang_label")).alias("label"), _n_words().alias("n_words"))
-    built = build_filter(docs.unionByName(agreeing(posts, build_filter(docs), "text", "label")))
+    words = materialise(count_words(docs), "reference-words")
+    built = build_filter(words.unionByName(count_agreeing(posts, build_filter(words), "text", "label")))
     return detect(posts.withColumn("label", F.array_join("label", "+")), built, "text", ["row_id", "label", "n_words"], with_segments)
 
 
