@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["nested_labels", "instants", "posts"]
+MODULES = ["nested_labels", "instants", "posts", "topics"]
 
 
 def _collect(kind: str) -> dict:
