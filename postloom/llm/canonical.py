@@ -12,6 +12,7 @@ one plain blank each; joiners inside emoji sequences stay, since they change wha
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from hashlib import md5
 
@@ -41,7 +42,15 @@ BREAKS = "\u000b\u000c\u0085\u2028\u2029\r"
 
 _DROP = {c: None for a, b in IGNORABLE for c in range(a, b + 1)}
 _MAP = {ord(c): " " for c in BLANKS} | {ord(c): "\n" for c in BREAKS} | {ord(k): v for k, v in LOOK_ALIKE.items()}
-_TABLE = _DROP | _MAP
+_TABLE = {chr(k): v or "" for k, v in (_DROP | _MAP).items()}
+#: Only what has to change is looked up: a class search is far cheaper than a table look-up per character.
+_SPECIAL = re.compile("[" + "".join(re.escape(c) for c in _TABLE if c > " " and not 0xE0000 <= ord(c) <= 0xE0FFF) + "\t\v\f\r\U000e0000-\U000e0fff]")
+
+
+def _special(m: re.Match) -> str:
+    return _TABLE[m[0]]
+
+
 _JOINERS = {0x200D, 0xFE0F}
 
 
@@ -61,9 +70,9 @@ def reader_form(text: str) -> str:
             "\ue000" if c == "\u200d" and 0 < i < len(text) - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1]) else c for i, c in enumerate(text)
         ]
         text = "".join(kept)
-    text = text.replace("\r\n", "\n").translate(_DROP)
-    text = unicodedata.normalize("NFKC", text.translate(_MAP))
-    text = unicodedata.normalize("NFKC", text.translate(_TABLE))
+    text = unicodedata.normalize("NFKC", _SPECIAL.sub(_special, text.replace("\r\n", "\n")))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _SPECIAL.sub(_special, text))
     return text.replace("\ue000", "\u200d") if kept else text
 
 

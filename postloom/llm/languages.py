@@ -43,15 +43,16 @@ _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 #: Addresses (also with the signs spelled out), tags, mentions, stamps and tokens with figures tell no language.
 _SKIP = re.compile(
     r"https?://\S+|www\.\S+|\S+\s*(?:@|[\[(]\s*at\s*[\])])\s*\S+(?:\s*[\[(]\s*dot\s*[\])]\s*\S+)*|[#@]\S+"
-    rf"|(?:\w+:\s*)?{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}(?:,?\s+\d{{1,2}}:\d{{2}}\S*)?(?:\s*[ap]m\b)?(?:\s*(?:utc|gmt|pht|[a-z]{{2,4}}t)\b\S*)?|\S*\d\S*"
+    rf"|(?:\w+:\s*)?{_MONTH}\.?\s+\d+,?\s+\d+(?:,?\s+\d+:\d+\S*)?(?:\s*[ap]m\b)?(?:\s*(?:utc|gmt|pht|[a-z]{{2,4}}t)\b\S*)?|\S*\d\S*"
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: A dot before a small letter (an abbreviation, trailing dots) does not cut.
-_CUT = re.compile(r"(?<=[!?])\s+|(?<=[.…])\s+(?![a-z])|\n+|(?<=[!?])(?=[^\W\d_])|(?<=[a-z]{2}\.)(?=[A-Z])")
+#: Ends of segments: terminators before a blank or a letter, line breaks. A dot before a small letter (an abbreviation,
+#: trailing dots) does not cut.
+_CUT = re.compile(r"([!?.…]+)(?:(?<=[!?])(?:\s+|(?=[^\W\d_]))|(?<=[.…])\s+(?![a-z])|(?<=[a-z]{2}\.)(?=[A-Z]))|\n+")
 
 
 _SIGNS = re.compile(r"[\d@#]|www|\(at|\[at")
-_FIGURES = str.maketrans("123456789", "000000000")
+_FIGURES = re.compile(r"\d+")
 
 
 def words_of(piece: str) -> list[str]:
@@ -66,15 +67,16 @@ def plain_piece(piece: str) -> str:
     """A piece without its leading tag and with all figures alike: pieces that are equal in this form hold the same words."""
     if piece.startswith("#"):
         piece = piece.partition(" ")[2]
-    return piece.translate(_FIGURES)
+    return _FIGURES.sub("0", piece)
 
 
 def segments_of(text: str) -> Iterator[tuple[int, int]]:
-    """Begin and end of each sentence-like piece of a text."""
+    """Begin and end of each sentence-like piece of a text, terminators included."""
     at = 0
     for m in _CUT.finditer(text):
-        if m.start() > at:
-            yield at, m.start()
+        end = m.end(m.lastindex) if m.lastindex else m.start()
+        if end > at:
+            yield at, end
         at = m.end()
     if at < len(text):
         yield at, len(text)
@@ -99,17 +101,6 @@ def label_set(col: Column) -> Column:
     return F.when(F.size(flat) > 0, flat)
 
 
-def _per_segment(texts: pd.Series) -> Iterator[tuple[list[str], int]]:
-    """The words of each distinct segment of some texts, and how often the segment occurs."""
-    seen: Counter = Counter()
-    for t, n in Counter(texts).items():
-        t = reader_form(t)
-        for a, b in segments_of(t):
-            seen[plain_piece(t[a:b])] += n
-    for segment, n in seen.items():
-        yield words_of(segment), n
-
-
 _COLS = [f"c{i}" for i in range(len(LANGUAGES))]
 _COUNTS = "gram string, " + ", ".join(f"{c} long" for c in _COLS)
 _INDEX = {v: i for i, v in enumerate(LANGUAGES)}
@@ -128,6 +119,13 @@ class _Counts:
                 have = self.seen[g] = [0] * len(LANGUAGES)
             have[i] += n
 
+    def add_held(self, held: dict[str, Counter]) -> None:
+        """Adds and clears the counted segments of each language."""
+        for lang, pieces in held.items():
+            for p, n in pieces.items():
+                self.add(words_of(p), _INDEX[lang], n)
+        held.clear()
+
     def out(self, least: int = 0) -> Iterator[pd.DataFrame]:
         if len(self.seen) > least:
             yield pd.DataFrame([(g, *c) for g, c in self.seen.items()], columns=["gram", *_COLS])
@@ -143,12 +141,18 @@ def count_words(reference: DataFrame, text: str = "text", lang: str = "lang") ->
     partition first, once per distinct segment."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = _Counts()
+        c, held = _Counts(), {}
         for b in batches:
             for lng, part in b.groupby(lang):
-                for w, n in _per_segment(part[text]):
-                    c.add(w, _INDEX[lng], n)
-            yield from c.out(300_000)
+                own = held.setdefault(lng, Counter())
+                for t, n in Counter(part[text]).items():
+                    t = reader_form(t)
+                    for x, y in segments_of(t):
+                        own[plain_piece(t[x:y])] += n
+            if sum(map(len, held.values())) > 200_000:
+                c.add_held(held)
+                yield from c.out(300_000)
+        c.add_held(held)
         yield from c.out()
 
     rows = reference.where(F.col(text).isNotNull() & F.col(lang).isin(LANGUAGES)).select(text, lang)
@@ -297,19 +301,18 @@ def count_agreeing(df: DataFrame, built: dict, text: str, label: str, part: floa
     their segments are, too. They teach the filter words that the first reference lacks; wrong labels are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, c = Decider(built), _Counts()
+        d, c, held = Decider(built), _Counts(), {}
         for b in batches:
-            held: dict[str, Counter] = {}
             for t, lang in zip(b[text], b["lang"], strict=True):
                 t = reader_form(t)
                 pieces = [t[x:y] for x, y in segments_of(t)]
                 decided = [got for p in pieces if (got := d.segment(p)) is not None]
                 if decided and sum(x[0] == lang for x in decided) >= part * len(decided):
                     held.setdefault(lang, Counter()).update(map(plain_piece, pieces))
-            for lang, pieces in held.items():
-                for p, n in pieces.items():
-                    c.add(words_of(p), _INDEX[lang], n)
-            yield from c.out(300_000)
+            if sum(map(len, held.values())) > 200_000:
+                c.add_held(held)
+                yield from c.out(300_000)
+        c.add_held(held)
         yield from c.out()
 
     one = df.where((F.size(label) == 1) & F.col(text).isNotNull()).select(F.col(text).alias(text), F.col(label)[0].alias("lang"))
