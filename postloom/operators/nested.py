@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -173,7 +174,7 @@ def infer_merged_schema(df: DataFrame, json_col: str, anchor: str, buckets: int
                     _observe(r["record"], tree)
                     n += 1
         if tree is not None:
-            yield pd.DataFrame({"bucket": [hash(json.dumps(tree, sort_keys=True)) % buckets], "tree": [json.dumps(tree)]})
+            yield pd.DataFrame({"bucket": [zlib.crc32(json.dumps(tree, sort_keys=True).encode()) % buckets], "tree": [json.dumps(tree)]})
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
         tree = None
@@ -232,7 +233,8 @@ def conform(df: DataFrame, json_col: str, keys: list[str], anchor: str, shape: d
                     out["_record_no"].append(n)
                     out["_context"].append(json.dumps({k: None if x is None else str(x) for k, x in r["context"].items()}))
                     out["_record"].append(json.dumps(_conform(r["record"], shape)))
-            yield pd.DataFrame(out)
+            if out["_record"]:
+                yield pd.DataFrame(out)
 
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField("_record_no", T.LongType()), T.StructField("_context", T.StringType()), T.StructField("_record", T.StringType())])

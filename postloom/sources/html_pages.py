@@ -71,7 +71,8 @@ def parse_pages(df: DataFrame, id_col: str, html: str) -> DataFrame:
                     p.feed(page)
                     p.close()
                 rows += [(i, n, *[x.get(k) for k in names], p.next) for n, x in enumerate(p.posts, 1)]
-            yield pd.DataFrame(rows, columns=[id_col, "post_no", *names, "next_page"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[id_col, "post_no", *names, "next_page"])
 
     kind = df.schema[id_col].dataType.simpleString()
     raw = df.select(id_col, html).mapInPandas(run, f"{id_col} {kind}, post_no int, " + ", ".join(f"{n} string" for n in [*names, "next_page"]))

@@ -92,7 +92,8 @@ def find_objects(df: DataFrame, id_col: str, body: str, keys: list[str]) -> Data
                 except ValueError:
                     continue
                 rows += [(i, p, json.dumps(x)) for p, x in _walk(v) if isinstance(x, dict) and all(k in x for k in keys)]
-            yield pd.DataFrame(rows, columns=[id_col, "path", "object"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[id_col, "path", "object"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, body).mapInPandas(run, f"{id_col} {kind}, path string, object string")
@@ -114,7 +115,8 @@ def key_paths(df: DataFrame, body: str) -> DataFrame:
                 for p, _ in _walk(v):
                     p = re.sub(r"\[\d+\]", "[]", p)
                     n[p] = n.get(p, 0) + 1
-        yield pd.DataFrame(list(n.items()), columns=["path", "n"])
+        if n:
+            yield pd.DataFrame(list(n.items()), columns=["path", "n"])
 
     return df.select(body).mapInPandas(run, "path string, n long").groupBy("path").agg(F.sum("n").alias("n"))
 
