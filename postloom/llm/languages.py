@@ -219,6 +219,7 @@ class Decider:
         self.false = built["false"]
         self.words: dict[str, int] = {}
         self.known: dict[str, tuple[str | None, float, int] | None] = {}
+        self.raw: dict[str, tuple[str | None, float, int] | None] = {}
 
     def _mask(self, gram: str) -> int:
         m = 255
@@ -258,20 +259,32 @@ class Decider:
 
     def segment(self, piece: str) -> tuple[str | None, float, int] | None:
         """Language, confidence and known words of one segment; None without words. Segments of the same words are decided once."""
-        piece = plain_piece(piece)
-        got = self.known.get(piece, 0)
+        got = self.raw.get(piece, 0)
+        if got != 0:
+            return got
+        if len(self.raw) > 200_000:
+            self.raw.clear()
+        plain = plain_piece(piece)
+        got = self.known.get(plain, 0)
         if got == 0:
             if len(self.known) > 200_000:
                 self.known.clear()
-            w = words_of(piece)
+            w = words_of(plain)
             got = None
             if w:
                 s, known = self.score(w)
                 best, next_ = sorted(s, reverse=True)[:2]
                 got = (LANGUAGES[s.index(best)] if best > 0 else None, (best - next_) * min(1.0, known / 4), known)
-            self.known[piece] = got
+            self.known[plain] = got
+        self.raw[piece] = got
         return got
 
+    def languages(self, text: str) -> dict[str, float]:
+        """The languages of a text with their confidence, as ``decide`` has it."""
+        text = reader_form(text)
+        segment = self.segment
+        return decide([(a, b, *got) for a, b in segments_of(text) if (got := segment(text[a:b])) is not None])
+
     def segments(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
         """begin, end, language, confidence and known words of each segment with words; places are those in the reader's form."""
         text = reader_form(text)
@@ -327,8 +340,8 @@ def detect(df: DataFrame, built: dict, text: str, keep: list[str], with_segments
         d = Decider(built)
         for b in batches:
             out = b[keep].copy()
-            rows = [d.segments(t) if isinstance(t, str) else [] for t in b[text]]
-            langs = [decide(s) for s in rows]
+            rows = [d.segments(t) if isinstance(t, str) else [] for t in b[text]] if with_segments else []
+            langs = [decide(s) for s in rows] if with_segments else [d.languages(t) if isinstance(t, str) else {} for t in b[text]]
             out["langs"] = ["+".join(sorted(x)) for x in langs]
             out["confidence"] = [min(x.values(), default=None) for x in langs]
             if with_segments:

@@ -128,7 +128,8 @@ def draw_slots(sources: DataFrame, spark, take: dict[str, float], facts: dict[st
                 slots = shard_blocks if s < shards - 1 else n_slots - shard_blocks * (shards - 1)
                 counts = np.random.default_rng([seed, int(s)]).multinomial(slots, p)
                 rows += [(s, names[i], int(c)) for i, c in enumerate(counts) if c]
-            yield pd.DataFrame(rows, columns=["shard", "source", "c"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["shard", "source", "c"])
 
     drawn = spark.range(shards).mapInPandas(draw, "shard long, source string, c long")
     # Shards are summed in ranges first, so that a running sum over all shards of a source is no single large group.
