@@ -5,7 +5,7 @@ record into one typed column; ``flatten_records`` takes any nested column (from
 root table and one child table per array or map level. Every row carries a surrogate key ``_id``; child rows also
 ``_parent_id``, ``_root_id`` and ``_ord``, the 1-based place in the parent (null elements are counted and kept).
 
-Defined results for odd input: null or unreadable JSON gives no records (``unreadable`` lists it); an empty array or
+Defined results for odd input: null or unreadable JSON gives no records (``without_records`` lists such rows); text around a JSON value is passed over; an empty array or
 map gives no child rows; a null element gives a child row whose fields are all null; an empty table gives empty tables;
 field names that clash after flattening get a numbered suffix; exact repeats of a record are kept as separate records.
 """
@@ -151,11 +151,23 @@ def find_records(v, anchor: str, context: dict | None = None, path: str = "") ->
             yield from find_records(x, anchor, context, path)
 
 
+_DECODER = json.JSONDecoder()
+
+
 def _loads(text):
+    """The JSON value of a text; of a text with something around it, the first object or array in it; else None."""
+    if not isinstance(text, str):
+        return None
     try:
-        return json.loads(text) if text is not None else None
+        return json.loads(text)
     except (ValueError, RecursionError):
-        return None
+        pass
+    for m in re.finditer(r"[\[{]", text):
+        try:
+            return _DECODER.raw_decode(text, m.start())[0]
+        except (ValueError, RecursionError):
+            continue
+    return None
 
 
 def infer_merged_schema(df: DataFrame, json_col: str, anchor: str, buckets: int = 64) -> dict:
@@ -246,9 +258,9 @@ def conform(df: DataFrame, json_col: str, keys: list[str], anchor: str, shape: d
     )
 
 
-def unreadable(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """The rows whose text is no JSON at all."""
-    return df.where(F.col(json_col).isNull() | F.try_parse_json(json_col).isNull()).select(*keys, json_col)
+def without_records(df: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose text gave no record."""
+    return df.join(records.select(*keys).distinct(), keys, "left_anti")
 
 
 def _leaves(col: Column, kind: T.DataType, name: str) -> tuple[list[tuple[str, Column]], list[tuple[str, Column, T.DataType]]]:

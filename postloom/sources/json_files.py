@@ -58,10 +58,12 @@ def read_yaml_table(spark: SparkSession, path: str, schema: str, overlay: str |
 
 
 def json_bodies(body: Column) -> Column:
-    """The JSON values of a response body, as texts: the whole body if it is JSON, else each line that is."""
-    whole = F.when(F.try_parse_json(body).isNotNull(), F.array(body))
-    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & F.try_parse_json(x).isNotNull())
-    return F.coalesce(whole, lines, F.array().cast("array<string>"))
+    """The JSON values of a response body, as texts: each line that is JSON where the first line is, else the whole body."""
+    # The parser takes a value that other text follows; so a line counts only if it also ends like a value.
+    complete = lambda x: F.trim(x).rlike(r"(?s)^[\[{].*[\]}]$") & F.try_parse_json(x).isNotNull()
+    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
+    by_line = F.when((F.size(lines) > 1) & complete(F.get(lines, F.lit(0))), F.filter(lines, complete))
+    return F.coalesce(by_line, F.when(complete(body), F.array(body)), F.array().cast("array<string>"))
 
 
 def first_of(*columns: str) -> Column:

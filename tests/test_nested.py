@@ -2,7 +2,7 @@
 
 import json
 
-from postloom.operators.nested import conform, find_records, flatten_records, infer_merged_schema, resolve, spark_type, unreadable
+from postloom.operators.nested import conform, find_records, flatten_records, infer_merged_schema, resolve, spark_type, without_records
 from postloom.plans.nested_labels import found
 
 
@@ -44,19 +44,19 @@ def test_shapes_merge(spark):
         '[{"k": "2", "xs": {"a": 5}, "m": [{"month": "2024-02", "count": "4"}]}]',
         '{"meta": {"run": "7"}, "recs": [{"k": 3, "xs": {"1": {"a": 8}, "10": null, "2": {"a": 9}}, "m": null}]}',
         '{"k": 4, "xs": "[{\\"a\\": 6}]", "m": {}}',
-        None, "", "no json", '{"other": 1}', "[]",
+        None, "", "no json", '{"other": 1}', "[]", 'Here it is: [{"k": 5, "xs": []}] done',
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, j string")
     shape = infer_merged_schema(df, "j", "k")
     assert spark_type(shape).simpleString() == "struct<k:bigint,xs:array<struct<a:bigint>>,m:map<string,bigint>>"
     r = {x.id: x for x in conform(df, "j", ["id"], "k", shape).collect()}
-    assert sorted(r) == [0, 1, 2, 3] and r[2].context["meta.run"] == "7"
+    assert sorted(r) == [0, 1, 2, 3, 9] and r[2].context["meta.run"] == "7"
     assert [x and x.a for x in r[2].record.xs] == [8, 9, None] and [x.a for x in r[3].record.xs] == [6]
     t = flatten_records(conform(df, "j", ["id"], "k", shape).select("id", "record.*"), "rec", ["id"])
     assert {(x.id, x._ord, x.a) for x in t["rec.xs"].collect()} == {(0, 1, 1), (0, 2, None), (0, 3, 2), (1, 1, 5), (2, 1, 8), (2, 2, 9), (2, 3, None), (3, 1, 6)}
     assert {(x.id, x._key, x.value) for x in t["rec.m"].collect()} == {(0, "2024-01", 3), (1, "2024-02", 4)}
-    assert t["rec"].count() == 4
-    assert {x.id for x in unreadable(df, "j", ["id"]).collect()} == {4, 5, 6}
+    assert t["rec"].count() == 5
+    assert {x.id for x in without_records(df, t["rec"], ["id"]).collect()} == {4, 5, 6, 7, 8}
 
 
 def test_empty_and_clashing_names(spark):
