@@ -191,10 +191,10 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, see
 def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
     """For every source of either table: target share, tokens taken, share reached, most repeats used and allowed."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.max("repeat_no").alias("most_repeats"))
-    total = got.agg(F.sum("n_tokens").alias("total"))
     have = docs.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_documents"))
     t = targets.select("source", "target_share", "max_repeats")
-    every = have.join(t, "source", "full").join(got, "source", "left").crossJoin(F.broadcast(total))
+    # One row per source: the total is a sum over that small table.
+    every = have.join(t, "source", "full").join(got, "source", "left").withColumn("total", F.sum("n_tokens").over(W.partitionBy()))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return every.select(
         "source", zero("n_documents"), "target_share", "max_repeats", zero("n_tokens"), zero("most_repeats"),
