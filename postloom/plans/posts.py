@@ -13,10 +13,20 @@ from postloom.operators.dedup import keep_first, near_duplicate_classes, new_row
 
 # Function words by language for the ratio rules.
 WORDS = {
-    "en": "the a an of to in is that this you i my with for on but not be have do are was were will can it he she they we from by as if so or and".split(),
-    "tl": "ang ng mga sa na ay ko mo niya ako ikaw siya tayo kayo sila po opo hindi oo wala may yan yun ba eh pala daw raw ano kung para bakit kaya gusto".split(),
-    "ceb": "akong imong iyang atong nako nimo namo nato kay og ug diay gyud pud lagi unsa kinsa asa ngano giunsa dili ayaw walay naa naay aron tungod human nga".split(),
-}
+    "en": (
+        "the a an of to in is that this you i my with for on but not be have do does did are was were will would could should can it he she they them his her their our us we me "
+        "from by as if so or and"
+    ).split(),
+    "tl": (
+        "ang ng mga sa ay na at kasi talaga naman lang din rin yung ito ako ikaw siya kami tayo kayo sila po opo hindi oo wala may yan yun ba eh pala daw raw ano kung para bakit "
+        "kaya gusto ayoko talagang kahit pero ngunit"
+    ).split(),
+    "ceb": (
+        "akong imong iyang atong inyong ilang ako ikaw siya kami kita kamo sila ko nako nimo niya namo nato ninyo nila kay og ug diay gani gud gyud jud bitaw bay pud sad lagi bana "
+        "uy hala unsa kinsa asa kanus-a ngano giunsa pila dili di ayaw walay way naa anaa naay basin tabangi tagaa tagai buot buhi kuyaw lami nindot kuan aron tungod samtang human "
+        "nga dayon ato ila akoa imoha ihaha padong padayon manggi makig magpa mag"
+    ).split(),
+}
 STOP = "the and for that this with was are but not you have they from will can our has had his her she him its all any were there their who what when how why very just about into than then them also been being did does doing".split()
 TOP = 80
 LINE = r"(?i)\bSubmitted\s*:[^\n]*"

@@ -102,3 +102,20 @@ def test_chart_terms(spark):
     got = one(spark, "The [photo] students' boxes https://x.y 123 ab Story", lambda c: T.chart_terms(c, ["the"]))
     assert got == ["student", "box", "story"] and one(spark, None, lambda c: T.chart_terms(c, ["the"])) == []
     assert re.fullmatch("[0-9a-f]{16}", one(spark, " Abc ", T.content_id)) and one(spark, " Abc ", T.content_id) == one(spark, "abc", T.content_id)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I have to go to the library and study for the exam", "English"),
+        ("Ang hirap naman ng buhay dito sa atin kasi wala po akong pera", "Filipino"),
+        ("Grabe ang hirap ng exam but I still have to be here with my friends", "Taglish"),
+        ("Naa koy pangutana kay dili ko kasabot aron nga mag-eskwela", "Cebuano"),
+        ("ok", "Unknown"),
+    ],
+)
+def test_language_rule(spark, tmp_path, text, want):
+    from postloom.plans.posts import language_rule
+
+    spark.createDataFrame([(1, text)], "row_id long, text string").write.parquet(f"file://{tmp_path}/golden_input.parquet")
+    assert [r.language for r in language_rule(spark, f"file://{tmp_path}").collect()] == [want]
