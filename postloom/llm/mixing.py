@@ -113,11 +113,22 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def draw_slots(sources: DataFrame, spark, take: dict[str, float], facts: dict[str, tuple[int, int, int]], seed: int, shard_blocks: int) -> DataFrame:
-    """shard, source, slot (numbered per source over all shards). facts: blocks, tokens, cap of each source."""
-    names = sorted(k for k in take if take[k] > 0)
-    need = np.array([take[k] / (facts[k][1] / facts[k][0]) for k in names])
-    n_slots = int(round(need.sum()))
+def plan_slots(take: dict[str, float], facts: dict[str, tuple[int, int, int]]) -> dict[str, int]:
+    """Slots of each source: its tokens over the mean tokens of its blocks, rounded by largest remainder, never above its cap."""
+    need = {k: v / (facts[k][1] / facts[k][0]) for k, v in take.items() if v > 0}
+    total = int(round(sum(need.values())))
+    slots = {k: min(int(v), facts[k][0] * facts[k][2]) for k, v in need.items()}
+    for k in sorted(need, key=lambda k: (slots[k] - need[k], k)):
+        if sum(slots.values()) < total and slots[k] < facts[k][0] * facts[k][2]:
+            slots[k] += 1
+    return {k: v for k, v in slots.items() if v}
+
+
+def draw_slots(spark, planned: dict[str, int], seed: int, shard_blocks: int) -> DataFrame:
+    """shard, source, slot (numbered per source over all shards): multinomial draws with the planned slots as weights."""
+    names = sorted(planned)
+    need = np.array([planned[k] for k in names], dtype=float)
+    n_slots = int(need.sum())
     shards = -(-n_slots // shard_blocks) if n_slots else 0
     p = need / need.sum() if n_slots else need
 
@@ -145,8 +156,9 @@ def draw_slots(sources: DataFrame, spark, take: dict[str, float], facts: dict[st
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """The mixture: shard, source, slot, repeat_no, block_no, n_tokens, tokens.
 
-    ``total``: tokens wanted; null means as many as the documents of the target sources hold. The draw of a source that is
-    filled to its cap can ask for a few slots too many; those go, in slot order, to sources that have room.
+    ``total``: tokens wanted; null means as many as the documents of the target sources hold. Multinomial draws miss the
+    planned slots of a source by about their square root; slots that a source has too many, in slot order, go to the
+    sources that have too few, so that shares are those planned and no cap is passed.
     """
     spark = docs.sparkSession
     blocks = materialise(pack(tokenise(docs, tokenizer), block), "numbered-blocks")
@@ -154,27 +166,25 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, see
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL").toLocalIterator()}
     sources = [{"source": k, "tokens": t, "target": want.get(k, (None, 0))[0], "cap": want.get(k, (None, 0))[1] or 0} for k, (b, t) in facts.items()]
     take = plan_totals(sources, total)
-    known = {k: (facts[k][0], facts[k][1], want[k][1]) for k in take}
-    slots = draw_slots(targets, spark, take, known, seed, shard_blocks)
-    # One row per source: what fits and how many blocks there are.
-    room = spark.createDataFrame([(k, b, b * cap) for k, (b, _, cap) in known.items()] or [("", 0, 0)], "source string, blocks long, fits long")
+    planned = plan_slots(take, {k: (facts[k][0], facts[k][1], want[k][1]) for k in take})
+    slots = draw_slots(spark, planned, seed, shard_blocks)
+    # One row per source: its planned slots and its blocks.
+    room = spark.createDataFrame([(k, facts[k][0], n) for k, n in planned.items()] or [("", 0, 0)], "source string, blocks long, fits long")
     slots = slots.join(F.broadcast(room), "source")
-    used = slots.groupBy("source").agg(F.count("*").alias("drawn"))
-    spare = {r.source: (known[r.source][0] * known[r.source][2] - r.drawn, r.drawn) for r in used.toLocalIterator()}
-    spare |= {k: (known[k][0] * known[k][2], 0) for k in known if k not in spare}
-    over = sum(-v for v, _ in spare.values() if v < 0)
+    drawn = {r.source: r.n for r in slots.groupBy("source").agg(F.count("*").alias("n")).toLocalIterator()}
     fit = slots.where("slot < fits")
-    if over:
-        ranges, at = [], 0
-        for k, (v, drawn) in sorted(spare.items(), key=lambda x: -x[1][0]):
-            share = min(max(0, v), over - at)
-            if share > 0:
-                ranges.append((k, drawn, at, at + share, known[k][0], known[k][0] * known[k][2]))
-                at += share
+    ranges, at = [], 0
+    for k in sorted(planned):
+        short = planned[k] - drawn.get(k, 0)
+        if short > 0:
+            ranges.append((k, drawn.get(k, 0), at, at + short, facts[k][0], planned[k]))
+            at += short
+    if ranges:
+        # About the square root of all slots, per source: small beside what is moved anyway.
         extra = slots.where("slot >= fits").withColumn("m", F.row_number().over(W.orderBy("source", "slot")) - 1)
-        to = spark.createDataFrame(ranges or [("", 0, 0, 0, 0, 0)], "source string, drawn long, lo long, hi long, blocks long, fits long")
+        to = spark.createDataFrame(ranges, "source string, drawn long, lo long, hi long, blocks long, fits long")
         moved = extra.select("shard", "m").join(F.broadcast(to), F.expr("m >= lo AND m < hi")).select("source", "shard", (F.col("drawn") + F.col("m") - F.col("lo")).alias("slot"), "blocks", "fits")
-        fit = fit.unionByName(moved)
+        fit = fit.select("source", "shard", "slot", "blocks", "fits").unionByName(moved)
 
     def place(slot: pd.Series, size: pd.Series, salt: pd.Series) -> pd.Series:
         n = np.maximum(1, size.to_numpy(np.int64))
