@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,24 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= want // 2:
         return df
     return df.repartition(want, *keys)
+
+
+_ROOT = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets the Python workers of a session import this package, where their path does not already hold it."""
+    app = spark.sparkContext.applicationId
+    on_path = str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (spark.sparkContext.master.startswith("local[") and Path.cwd() == _ROOT)
+    if on_path or app in _shipped:
+        return
+    folder = scratch_dir(spark)
+    at = Path(folder.removeprefix("file://") if folder.startswith("file:") else tempfile.mkdtemp(prefix="postloom-"))
+    at.mkdir(parents=True, exist_ok=True)
+    archive = at / f"postloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((_ROOT / "postloom").rglob("*.py")):
+            z.write(f, f.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
