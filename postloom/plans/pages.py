@@ -143,7 +143,15 @@ QUERIES = {
 
 _LATEST = "s AS (SELECT * FROM vad_score QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY scored_at DESC NULLS LAST, researcher_id NULLS FIRST, model_version NULLS FIRST, v NULLS FIRST, a NULLS FIRST, d NULLS FIRST, topic_id NULLS FIRST, univ_code NULLS FIRST) = 1)"
 _POST = "post AS (SELECT * FROM golden_input QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY row_id DESC) = 1)"
+_STOP_IN = ", ".join(f"'{w}'" for w in STOP)
 SQL = {
+    "valence_terms": f"""WITH {_LATEST}, {_POST},
+        a AS (SELECT post.row_id, s.v, unnest(string_split_regex(trim(replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '\\[[A-Z_]+\\]', ' ', 'gi'), 'https?://\\S+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\s'']', ' ', 'g'), '''', ''), ' '), '\\s+')) AS w FROM post JOIN s USING (post_id)),
+        b AS (SELECT * FROM a WHERE length(w) >= 3 AND w NOT IN ({_STOP_IN}) AND NOT regexp_full_match(w, '[0-9]+')),
+        c AS (SELECT DISTINCT row_id, v, CASE WHEN length(w) < 4 THEN w WHEN w = 'children' THEN 'child' WHEN w = 'men' THEN 'man' WHEN w = 'women' THEN 'woman' WHEN w = 'people' THEN 'person' WHEN w = 'feet' THEN 'foot'
+          WHEN w = 'teeth' THEN 'tooth' WHEN w = 'mice' THEN 'mouse' WHEN w = 'geese' THEN 'goose' WHEN w LIKE '%ies' AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y')
+          WHEN regexp_matches(w, '(sses|ches|shes|xes)$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^sui]s$') THEN regexp_replace(w, 's$', '') ELSE w END AS term FROM b)
+        SELECT term, count(*) AS n, round(avg(v), 3) AS mean_v FROM c WHERE length(term) >= 3 AND term NOT IN ({_STOP_IN}) GROUP BY 1 ORDER BY n DESC, term LIMIT 40""",
     "top_labels": """WITH n AS (SELECT _test_source_code AS source_code, coalesce(lower(trim(lang_label, ' ')), '') AS label, count(*) AS n FROM golden_input GROUP BY ALL)
         SELECT source_code, label, n, floor(100 * n / sum(n) OVER (PARTITION BY source_code))::INT AS pct, row_number() OVER (PARTITION BY source_code ORDER BY n DESC, label) AS k FROM n QUALIFY k <= 3""",
     "month_counts": f"WITH {_LATEST}, m AS (SELECT univ_code, strftime(scored_at, '%Y-%m') AS month, count(*) AS n FROM s WHERE scored_at IS NOT NULL GROUP BY ALL) SELECT univ_code, count(*) AS n_months, max(n) AS most, string_agg(month || '=' || n, ',' ORDER BY month) AS months FROM m GROUP BY 1",
