@@ -55,6 +55,23 @@ def test_leaks_against_brute_force(spark):
     assert lk.find_leaks(df.limit(0), it, rank=8).count() == 0 and lk.find_leaks(df, it.limit(0), rank=8).count() == 0
 
 
+def test_short_leaks_in_unrelated_documents(spark):
+    """Twelve words in a row are found however little the rest of their passage is like the item."""
+    r = random.Random(11)
+    mine, other = ([f"{x}{a}{b}" for a in "bdgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "em", "is")] for x in ("q", ""))
+    items = [(i, " ".join(r.choice(mine) for _ in range(45)), "ans") for i in range(12)]
+    docs = []
+    for d in range(120):
+        w, src, at = [r.choice(other) for _ in range(200)], items[d % 12][1].split(), r.randrange(0, 33)
+        n, to = (12, 11)[d % 4 == 3], r.randrange(0, 200)
+        docs.append((d, " ".join(w[:to] + src[at : at + n] + w[to:])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, item_text string, answer_text string")
+    # A cut that no passage reaches leaves the shared words alone to find them.
+    for paraphrases, least in ((False, 0.3), (False, 1.1), (True, 1.1)):
+        got = {(x.doc_id, x.item_id) for x in lk.find_leaks(df, it, least, 24, paraphrases).where("run >= 12").collect()}
+        assert got == {(d, d % 12) for d in range(120) if d % 4 != 3}
+
+
 def test_paraphrase_is_near(spark):
     item = "the council of the village ruled that every cart must carry the mark of the elder on its left wheel before the harvest"
     doc = "they say the council of that village had ruled every cart must carry the mark of an elder on its own left wheel before harvest"
