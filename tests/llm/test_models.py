@@ -23,6 +23,12 @@ def test_skeletons():
     assert ct.pieces("#Wall12 Isa. Dalawa!\nTatlo") == ["Isa. ", "Dalawa!\n", "Tatlo"] and ct.pieces(None) == []
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u2007", "\u202f", "\u3000", "\t", " \u00a0", "\u00a0 "])
+def test_tags_end_at_any_blank(blank):
+    assert ct.pieces(f"#Wall12{blank}ikaw ay bobo. Dalawa") == ["ikaw ay bobo. ", "Dalawa"]
+    assert ct.pieces(f"#Wall12{blank}ikaw{blank}bobo") == [f"ikaw{blank}bobo"] and ct.pieces(f"#Wall12{blank}") == ct.pieces("#") == []
+
+
 def test_gradients():
     net = ct.Net(0)
     docs, y = [["a", "b", "c"], ["d"]], np.array([1, 0])
