@@ -8,7 +8,8 @@ of message passing between chain and skip edges, for many documents at once.
 There are no labelled texts, so weights are fitted on a bounded sample of posts (SAMPLE, drawn by hash of the id) with
 labels of strict rules: full patterns, listed given names with a surname, titles, signatures. Segments in which the rules
 leave capitalised pairs undecided are not used. Word shapes, endings, neighbours and pattern hits are the features, so
-that unlisted names and unusual spellings are found by their form and company.
+that unlisted names and unusual spellings are found by their form and company. The word lists behind rules and features
+(words that are common, given names that stand alone) are counted over all posts.
 
 Only segments with any sign of personal data enter the field: a cheap test that is remembered per distinct segment.
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.canonical import IGNORABLE, reader_form
+from postloom.session import materialise
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -445,29 +447,88 @@ class Field:
         return out
 
 
-def learn(sample: list[str], given: set[str], seed: int = 1) -> dict:
-    """The model from a bounded sample of texts and the listed given names."""
-    texts = [reader_form(t) for t in dict.fromkeys(sample) if t]
-    small: Counter = Counter()
-    large: Counter = Counter()
-    for t in texts:
-        for w in re.findall(r"[^\W\d_]+", EMAIL.sub(" ", re.sub(r"https?://\S+|#\S+", " ", t))):
-            (small if w[0].islower() else large)[w.lower()] += 1
-    listed = {g.lower() for g in given}
-    common = {w for w, n in small.items() if n >= 2 and n >= 0.1 * large[w] and (w not in listed or n >= 3)}
-    # Capitalised words that are frequent and hardly ever stand behind a given name or title are places and the like.
-    near: Counter = Counter()
+#: Least occurrences of a word to be judged by: a number, and a part of the texts, so that verdicts don't change with their number.
+TWICE, THRICE, OFTEN = (2, 1e-4), (3, 1.5e-4), (20, 1e-3)
+_CAPITALISED = re.compile(r"([A-Z][^\W\d_]+(?:[’'][^\W\d_]+)?)\.?,?\s+(?:[A-Z]\.\s+)?(?=([A-Z][^\W\d_]+))")
+_FOLLOWED = re.compile(r"(?<![\w@.])([A-Z][^\W\d_]+)(,?)\s+(?:[A-Z]\.\s+)?([^\W\d_]?)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_LINK_OR_TAG = re.compile(r"https?://\S+|#\S+")
+COUNTS = ["small", "large", "near", "lone", "full"]
+
+
+def _least(bound: tuple[int, float], texts: int) -> float:
+    return max(bound[0], bound[1] * texts)
+
+
+def count_cases(texts: list[str], listed: set[str]) -> dict[str, Counter]:
+    """How often each word is written small and large, follows a listed name or title, and, of listed names, stands alone
+    or before another capitalised word. Texts in the reader's form."""
+    n: dict[str, Counter] = {c: Counter() for c in COUNTS}
     for t in texts:
-        for m in re.finditer(r"([A-Z][^\W\d_]+(?:[’'][^\W\d_]+)?)\.?,?\s+(?:[A-Z]\.\s+)?(?=([A-Z][^\W\d_]+))", t):
+        for w in _LETTERS.findall(EMAIL.sub(" ", _LINK_OR_TAG.sub(" ", t))):
+            n["small" if w[0].islower() else "large"][w.lower()] += 1
+        for m in _CAPITALISED.finditer(t):
             if m[1].lower() in listed or m[1].lower() in TITLES:
-                near[m[2].lower()] += 1
-    common |= {w for w, n in large.items() if n >= max(20, 0.001 * len(texts)) and near[w] < 0.05 * n and w not in listed}
-    lone, full = Counter(), Counter()
-    for t in texts:
-        for m in re.finditer(r"(?<![\w@.])([A-Z][^\W\d_]+)(,?)\s+(?:[A-Z]\.\s+)?([^\W\d_]?)", t):
+                n["near"][m[2].lower()] += 1
+        for m in _FOLLOWED.finditer(t):
             if m[1].lower() in listed:
-                (full if m[3].isupper() and not m[2] else lone)[m[1].lower()] += 1
-    lex = Lexicon(listed, common, {g for g, n in lone.items() if n >= 3 and n >= 0.25 * (n + full[g])})
+                n["full" if m[3].isupper() and not m[2] else "lone"][m[1].lower()] += 1
+    return n
+
+
+def make_lexicon(n: dict[str, Counter], texts: int, listed: set[str]) -> Lexicon:
+    """The word lists by the counts of so many texts."""
+    small, large, near, lone, full = (n[c] for c in COUNTS)
+    two, three, often = _least(TWICE, texts), _least(THRICE, texts), _least(OFTEN, texts)
+    common = {w for w, k in small.items() if k >= two and k >= 0.1 * large[w] and (w not in listed or k >= three)}
+    # Capitalised words that are frequent and hardly ever stand behind a given name or title are places and the like.
+    common |= {w for w, k in large.items() if k >= often and near[w] < 0.05 * k and w not in listed}
+    return Lexicon(listed, common, {g for g, k in lone.items() if k >= three and k >= 0.25 * (k + full[g])})
+
+
+def corpus_lexicon(df: DataFrame, text: str, given: set[str]) -> Lexicon:
+    """The word lists by all distinct texts. Only words that reach a threshold come to the driver."""
+    listed = {g.lower() for g in given}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, Counter] = {c: Counter() for c in COUNTS}
+        total = 0
+
+        def rows() -> pd.DataFrame:
+            words = sorted(set().union(*sums.values()))
+            out = pd.DataFrame({"word": [None, *words], "texts": [total, *[0] * len(words)]})
+            for c in COUNTS:
+                out[c] = [0, *(sums[c][w] for w in words)]
+                sums[c].clear()
+            return out
+
+        for b in batches:
+            total += len(b)
+            for c, more in count_cases([reader_form(t) for t in b[text]], listed).items():
+                sums[c].update(more)
+            if sum(map(len, sums.values())) > 300_000:
+                yield rows()
+                total = 0
+        if total:
+            yield rows()
+
+    names = ["texts", *COUNTS]
+    part = df.select(text).where(F.col(text).isNotNull() & (F.col(text) != "")).distinct().mapInPandas(run, "word string, " + ", ".join(f"{c} long" for c in names))
+    counts = materialise(part.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "cases")
+    first = counts.where("word IS NULL").first()
+    texts = first.texts if first else 0
+    reach = (F.col("small") >= _least(TWICE, texts)) | (F.col("large") >= _least(OFTEN, texts)) | (F.col("lone") >= _least(THRICE, texts))
+    got = counts.where(F.col("word").isNotNull() & reach).toPandas()
+    return make_lexicon({c: Counter(dict(zip(got["word"], got[c].tolist(), strict=True))) for c in COUNTS}, texts, listed)
+
+
+def learn(sample: list[str], given: set[str], seed: int = 1, lex: Lexicon | None = None) -> dict:
+    """The model from a bounded sample of texts and the listed given names. The word lists are those of all texts, ``lex``;
+    without it the sample counts as all texts."""
+    texts = [reader_form(t) for t in dict.fromkeys(sample) if t]
+    if lex is None:
+        listed = {g.lower() for g in given}
+        lex = make_lexicon(count_cases(texts, listed), len(texts), listed)
     segs: dict[str, None] = {}
     for t in texts:
         for a, b in segments(t):
@@ -500,7 +561,7 @@ def learn(sample: list[str], given: set[str], seed: int = 1) -> dict:
     field = Field()
     if any(any(y) for y in labels):
         field.fit(feats, labels, seed)
-    return {"emit": field.emit.astype(np.float16), "move": field.move, "given": lex.given, "common": common, "alone": lex.alone, "segments": len(labels)}
+    return {"emit": field.emit.astype(np.float16), "move": field.move, "given": lex.given, "common": lex.common, "alone": lex.alone, "segments": len(labels)}
 
 
 class Finder:

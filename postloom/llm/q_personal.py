@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.io import table
-from postloom.llm.personal import draw_sample, find_personal, learn, redact
+from postloom.llm.personal import corpus_lexicon, draw_sample, find_personal, learn, redact
 from postloom.session import spread
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
     posts = table(spark, sf_dir, "golden_input", "row_id", "text")
     given = {r.given_name for r in table(spark, sf_dir, "given_names").where("given_name IS NOT NULL").toLocalIterator()}  # a fixed list
-    return spread(posts, "row_id"), learn(draw_sample(posts, "row_id", "text"), given)
+    return spread(posts, "row_id"), learn(draw_sample(posts, "row_id", "text"), given, lex=corpus_lexicon(posts, "text", given))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

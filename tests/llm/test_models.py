@@ -154,6 +154,23 @@ def test_personal_finds(person_model):
     assert f.find(["", "   ", "x"]) == [[], [], []] and f.find([]) == []
 
 
+def test_word_lists_cover_all_posts(spark):
+    """Words that the sample lacks are judged by all posts, by the same rule at every size."""
+    posts = [f"plain {i}" for i in range(300)] + [f"we met at kubo {i} with Mr. Tanduay" for i in range(5)] + [f"{i} Rilube is far" for i in range(25)] + [f"oh Joy, {i}" for i in range(4)]
+    df = spark.createDataFrame([(t,) for t in [*posts, *posts, None, ""]], "text string").repartition(5)
+    lex = ps.corpus_lexicon(df, "text", {"Joy"})
+    whole = ps.make_lexicon(ps.count_cases(posts, {"joy"}), len(posts), {"joy"})
+    assert (lex.given, lex.common, lex.alone) == (whole.given, whole.common, whole.alone)
+    assert {"kubo", "rilube"} <= lex.common and "tanduay" not in lex.common and lex.alone == {"joy"}
+    model = ps.learn(posts[:50], {"Joy"}, lex=lex)
+    assert model["common"] == lex.common and not ps.Finder(model).lex.rare("Kubo") and ps.Lexicon({"joy"}, ps.learn(posts[:50], {"Joy"})["common"]).rare("Kubo")
+    assert ps.corpus_lexicon(df.limit(0), "text", {"Joy"}).common == set()
+    n = ps.count_cases(posts, {"joy"})
+    many = {c: ps.Counter({w: k * 1000 for w, k in n[c].items()}) for c in n}
+    big, small = (ps.make_lexicon(x, k, {"joy"}) for x, k in ((many, 20_000_000), ({c: ps.Counter({w: k * 2 for w, k in n[c].items()}) for c in n}, 40_000)))
+    assert big.common == small.common and big.alone == small.alone
+
+
 def test_redaction_and_edges(spark, person_model):
     rows = [(1, "Just text me at 09001234567 please. Salamat kay Ana Reyes na nagpahiram ng sulat."), (2, None), (3, ""), (4, "plain words only"), (1, "again 09001234567"), (5, "plain words. " * 5000 + "Just text me at 09001234567 please.")]
     df = spark.createDataFrame([(*x, "k") for x in rows], "row_id long, text string, kind string")
