@@ -46,8 +46,8 @@ def test_long_texts_equal_their_pieces():
     net = ct.Net(3)
     d = [f"w{i}" for i in range(1000)]
     whole = net.pool_all([d])[0]
-    parts = net.pool_all([d[k : k + 40] for k in range(0, 1000)])
-    assert np.allclose(whole, parts.max(axis=0), atol=1e-5)
+    buckets, rows = ct._coded([d], {})
+    assert np.allclose(whole, net.pooled(ct._padded(rows), np.concatenate(buckets), np.array([len(v) for v in buckets]))[0], atol=1e-5)
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,7 @@ def content_model():
         if k != "clean":
             g[r.randrange(3)] = r.choice(bad[k])
         rows.append((". ".join(g), k if r.random() > 0.03 else "clean", "tl" if i % 2 else "en"))
-    return ct.train(pd.DataFrame(rows, columns=["text", "content_label", "lang"]), ["bobo", "idiot"])
+    return ct.train(pd.DataFrame(rows, columns=["text", "content_label", "lang"]), [("bobo", "abusive"), ("idiot", "abusive"), ("x", "other")])
 
 
 def test_content_held_out(spark, content_model):
@@ -76,6 +76,37 @@ def test_content_held_out(spark, content_model):
     assert not any(r.flagged for r in ct.score_texts(df, ct.train(pd.DataFrame({"text": [], "content_label": [], "lang": []}), []), "row_id", "text", "lang").collect())
 
 
+def test_scores_do_not_depend_on_partitions_or_neighbours(spark, content_model):
+    r = random.Random(4)
+    words = "ang bobo mo talaga you are such an idiot nudes library gate class happy send me now".split()
+    rows = [(i, " ".join(r.choices(words, k=r.randint(1, 40))) + r.choice([".", "! Isa pa. ", ""]), "tl") for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, text string, lang string")
+    runs = [sorted((x.row_id, x.score, x.flagged) for x in ct.score_texts(df.repartition(n, "row_id"), content_model, "row_id", "text", "lang").collect()) for n in (1, 7, 64)]
+    assert runs[0] == runs[1] == runs[2] and any(x[2] for x in runs[0])
+    s = ct.Scorer(content_model)
+    alone = s.probabilities(["ang bobo mo"])
+    assert np.allclose(ct.Scorer(content_model).probabilities(["ang bobo mo", "w " * 150])[0], alone[0], atol=1e-6)
+
+
+def test_long_words_differ_to_their_end():
+    cache = {}
+    a, b = (set(ct._ids("tanginamotalagangwalangkwenta" + x, cache).tolist()) for x in ("ngbobo", "saya"))
+    assert len(a - b) >= 4 and len(b - a) >= 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 25, 100, 400])
+def test_one_rule_of_thresholds_at_every_size(n):
+    score, bad = np.r_[np.full(n, 0.9), np.linspace(0, 0.1, 50)], np.r_[np.ones(n, bool), np.zeros(50, bool)]
+    t = ct.best_threshold(score, bad, 0.5)
+    assert abs(t - 0.5) <= 1e-9 + 0.4 * min(n, 50) / (min(n, 50) + ct.PRIOR)
+
+
+def test_nets_fitted_in_tasks_are_those_fitted_here(spark):
+    rows = pd.DataFrame([("you are an idiot now", "abusive", "en"), ("the class is open", "clean", "en")] * 10, columns=["text", "content_label", "lang"])
+    a, b = ct.train(rows, [], spark=spark), ct.train(rows, [])
+    assert np.allclose(a["params"]["out"], b["params"]["out"], atol=1e-3) and abs(a["overall"] - b["overall"]) < 1e-3
+
+
 # ---- problem 5
 
 
