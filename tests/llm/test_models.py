@@ -98,7 +98,7 @@ def test_long_words_differ_to_their_end():
 def test_one_rule_of_thresholds_at_every_size(n):
     score, bad = np.r_[np.full(n, 0.9), np.linspace(0, 0.1, 50)], np.r_[np.ones(n, bool), np.zeros(50, bool)]
     t = ct.best_threshold(score, bad, 0.5)
-    assert abs(t - 0.5) <= 1e-9 + 0.4 * min(n, 50) / (min(n, 50) + ct.PRIOR)
+    assert abs(t - 0.5) <= 1e-9 + 0.5 * min(n, 50) / (min(n, 50) + ct.PRIOR)
 
 
 def test_nets_fitted_in_tasks_are_those_fitted_here(spark):
