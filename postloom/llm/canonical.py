@@ -1,19 +1,25 @@
 """Text that looks the same, in one consistent form.
 
-``canonical`` brings a text to the form in which comparisons work: compatibility normalisation in composed form (NFKC),
-full case folding, mapped white space and look-alike letters, default-ignorable characters removed. ``reader`` is the
-same without case folding: what a reader sees. Both are computed in Arrow batches, once per distinct value of a batch, and
-texts of plain ASCII skip the tables.
+``reader`` is what a reader sees: compatibility normalisation in composed form (NFKC), mapped white space and look-alike
+letters, default-ignorable characters removed. Letters are mapped on the decomposed text, so a mark stays on whatever
+letter it is on. ``canonical`` is the form for comparisons: the reader's form, fully case folded, with the folds of all
+look-alikes mapped, so that capitals and small letters of one word meet whatever script they are typed in (small Cyrillic
+letters, say, whose capitals look Latin). Both are computed in Arrow batches, once per distinct value of a task, and texts of
+plain ASCII skip the tables.
+
+Two small Greek letters look like other Latin letters than their capitals do (nu like v, upsilon like u). They can't be both,
+so they are no look-alikes to the reader's form, and follow their capitals in the canonical one.
 
 Defined results: null stays null; the empty text stays empty; a text of ignorable characters only becomes empty; texts of
 any length are processed whole; repeated rows have equal results; line breaks stay line breaks, all other blanks become
-one plain blank each; joiners inside emoji sequences stay, since they change what is seen.
+one plain blank each; a joiner between two pictographs stays, since it changes what is seen.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from hashlib import md5
 
 import pandas as pd
@@ -25,12 +31,14 @@ from postloom.session import materialise
 # Letters of other scripts that look like a Latin letter.
 LOOK_ALIKE = dict(
     zip(
-        # Cyrillic small, Cyrillic capital, Greek small, Greek capital, others
-        "аеорсухіјѕһԁԛԝѵɡӏ" "АВЕКМНОРСТУХІЈЅҮԌԚԜ" "οανικρυϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ" "ıɑ",
-        "aeopcyxijshdqwvgl" "ABEKMHOPCTYXIJSYGQW" "oavikpucj" "ABEZHIKMNOPTYXCJ" "ia",
+        # Cyrillic small, Cyrillic capital, Greek small, Greek capital, Armenian, others
+        "аеорсухіјѕһԁԛԝѵɡӏ" "АВЕКМНОРСТУХІЈЅҮԌԚԜѴ" "οαικρϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ" "օոսհցզՕՍՏ" "ıɑ",
+        "aeopcyxijshdqwvgl" "ABEKMHOPCTYXIJSYGQWV" "oaikpcj" "ABEZHIKMNOPTYXCJ" "onuhgqOUS" "ia",
         strict=True,
     )
 )
+#: What is left after case folding: the folds of the look-alikes.
+FOLDED = {k.casefold(): v.casefold() for k, v in LOOK_ALIKE.items()}
 #: Ranges of default-ignorable code points (public Unicode data), and the blanks and line breaks that are mapped.
 IGNORABLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -51,51 +59,66 @@ def _special(m: re.Match) -> str:
     return _TABLE[m[0]]
 
 
-_JOINERS = {0x200D, 0xFE0F}
-
-
 def _pictograph(c: str) -> bool:
     o = ord(c)
     return o >= 0x1F000 or 0x2600 <= o <= 0x27BF or 0x2190 <= o <= 0x21FF or 0x2B00 <= o <= 0x2BFF
 
 
+_FOLDED = str.maketrans(FOLDED)
+
+
 def reader_form(text: str) -> str:
     """The letters, marks and line breaks that a reader sees, in one spelling."""
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ").replace("\v", "\n").replace("\f", "\n")
-    kept = None
-    if any(c in text for c in "\u200d\ufe0f"):
-        # A joiner between two pictographs and a variation selector before one are part of what is seen.
-        kept = [
-            "\ue000" if c == "\u200d" and 0 < i < len(text) - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1]) else c for i, c in enumerate(text)
-        ]
-        text = "".join(kept)
-    text = unicodedata.normalize("NFKC", _SPECIAL.sub(_special, text.replace("\r\n", "\n")))
+    joined = "\u200d" in text
+    if joined:
+        text = "".join("\ue000" if c == "\u200d" and 0 < i < len(text) - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1]) else c for i, c in enumerate(text))
+    # Mapped twice: what is special may hide in a compatibility form, and a form may compose only once that is gone.
+    text = unicodedata.normalize("NFKD", _SPECIAL.sub(_special, text.replace("\r\n", "\n")))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _SPECIAL.sub(_special, text))
-    return text.replace("\ue000", "\u200d") if kept else text
+        text = unicodedata.normalize("NFC", _SPECIAL.sub(_special, text))
+    return text.replace("\ue000", "\u200d") if joined else text
+
+
+def folded_form(seen: str) -> str:
+    """A reader's form, fully case folded, with the folds of look-alikes mapped."""
+    if seen.isascii():
+        return seen.lower()
+    key = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", seen.casefold()).casefold()).translate(_FOLDED)
+    return unicodedata.normalize("NFC", key)
 
 
 def canonical_form(text: str) -> str:
-    """The reader's form, fully case folded."""
-    return unicodedata.normalize("NFKC", reader_form(text).casefold())
+    """The form in which comparisons work."""
+    return folded_form(reader_form(text))
+
+
+REMEMBERED = 50_000  # values whose form a task remembers at once
 
 
-def _per_distinct(f):
-    def run(s: pd.Series) -> pd.Series:
-        codes, values = pd.factorize(s, use_na_sentinel=True)
-        done = [f(v) for v in values]
-        return pd.Series([done[c] if c >= 0 else None for c in codes], dtype=object)
+def _per_distinct(form):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+        for s in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            codes, values = pd.factorize(s, use_na_sentinel=True)
+            done = []
+            for v in values:
+                got = known.get(v)
+                done.append(known.setdefault(v, form(v)) if got is None else got)
+            yield pd.Series([done[c] if c >= 0 else None for c in codes], dtype=object)
 
     return run
 
 
 def canonical(col: Column | str) -> Column:
-    return F.pandas_udf(_per_distinct(canonical_form), "string")(col)
+    return F.pandas_udf(_per_distinct(canonical_form), "string", F.PandasUDFType.SCALAR_ITER)(col)
 
 
 def reader(col: Column | str) -> Column:
-    return F.pandas_udf(_per_distinct(reader_form), "string")(col)
+    return F.pandas_udf(_per_distinct(reader_form), "string", F.PandasUDFType.SCALAR_ITER)(col)
 
 
 _DIGESTS = "struct<stored:binary,seen:binary,key:binary>"
@@ -107,9 +130,7 @@ def _digests(s: pd.Series) -> pd.DataFrame:
     done = []
     for v in values:
         seen = reader_form(v)
-        key = seen.casefold()
-        if not key.isascii():
-            key = unicodedata.normalize("NFKC", key)
+        key = folded_form(seen)
         stored_digest = md5(v.encode("utf-8", "surrogatepass")).digest()
         seen_digest = stored_digest if seen == v else md5(seen.encode("utf-8", "surrogatepass")).digest()
         done.append((stored_digest, seen_digest, md5(key.encode("utf-8", "surrogatepass")).digest()))
