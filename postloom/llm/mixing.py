@@ -1,15 +1,17 @@
 """Mixing sources to target weights.
 
-Documents become tokens of a public tokenizer; the tokens of each source are packed into blocks of fixed length; each
-output shard draws how many of its slots each source fills (multinomial); the slots of a source, numbered over all shards,
-go through pseudorandom permutations of the source's block numbers, one permutation per repetition; slots and blocks are
-then joined by source and block number. Nothing grows on the driver but the table of sources.
+Each task turns its documents into tokens of a public tokenizer and packs the tokens of each source into blocks of fixed
+length, in one pass over the texts; blocks are then numbered per source. Each output shard draws how many of its slots each
+source fills: a multinomial draw given the planned totals, made by halving the range of shards again and again, so that any
+shard's counts, and how many slots of each source lie before it, follow from the seed alone. The slots of a source go
+through pseudorandom permutations of the source's block numbers, one permutation per repetition; slots and blocks are then
+joined by source and block number. Nothing grows on the driver but the table of sources.
 
 Targets: a source without documents cannot be reached and a source at its cap (tokens x max_repeats) is filled to the
 cap; what is left over goes to the other sources in proportion to their targets, so that the total is kept where the caps
 allow it. Sources without a target take no part. ``shares`` reports target and actual shares for all of them.
 
-Defined results: null and empty texts have no tokens and appear in no block; the last block of a bundle is shorter and kept
+Defined results: null and empty texts have no tokens and appear in no block; each task's last block of a source is shorter and kept
 whole; repeated documents are documents of their own; empty tables give empty results; very long documents span blocks.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,25 +31,87 @@ from postloom.session import materialise
 TOKENIZERS = "/opt/tokenizers"
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 256
-BUNDLE_TOKENS = 1 << 18  # tokens packed together: bounds the work of one window group
+SPAN = 1024  # tasks numbered together
 
 
-def tokenise(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """doc_id, source and the tokens of each document with a text."""
+def default_tokenizer(spark: SparkSession) -> str:
+    """The tokenizer file: in the folder that the session names in ``spark.postloom.tokenizers``, else in TOKENIZERS."""
+    return f"{spark.conf.get('spark.postloom.tokenizers', TOKENIZERS)}/byte_bpe_50k.json"
+
+
+def _encoder(tokenizer: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL AND text <> '' AND source IS NOT NULL").select("source", "text")
+
+
+def token_blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK_TOKENS) -> DataFrame:
+    """source, part (the task), k (0-based in its task), n_tokens and tokens of every block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from pyspark import TaskContext
+
+        encode, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        held: dict[str, list[int]] = {}
+        made: dict[str, int] = {}
+        out: list[tuple] = []
+
+        def emit(source: str, tokens: list[int]) -> None:
+            out.append((source, part, made.get(source, 0), len(tokens), tokens))
+            made[source] = made.get(source, 0) + 1
+
+        def frame() -> pd.DataFrame:
+            got = pd.DataFrame(out, columns=["source", "part", "k", "n_tokens", "tokens"])
+            out.clear()
+            return got
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
         for b in batches:
             for i in range(0, len(b), 64):
-                part = b.iloc[i : i + 64]
-                ids = [e.ids for e in t.encode_batch(part["text"].tolist(), add_special_tokens=False)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "tokens": ids})
-
-    return docs.where("text IS NOT NULL AND text <> '' AND source IS NOT NULL").select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens array<int>")
+                for source, ids in zip(b["source"].iloc[i : i + 64], encode(b["text"].iloc[i : i + 64].tolist()), strict=True):
+                    have = held.setdefault(source, [])
+                    have += ids
+                    if len(have) >= block:
+                        full = len(have) // block * block
+                        for at in range(0, full, block):
+                            emit(source, have[at : at + block])
+                        del have[:full]
+                if len(out) >= 512:
+                    yield frame()
+        for source, have in held.items():
+            if have:
+                emit(source, have)
+        if out:
+            yield frame()
+
+    return _texts(docs).mapInPandas(run, "source string, part int, k long, n_tokens int, tokens array<int>")
+
+
+def _before(df: DataFrame, group: list[str], order: str, value: str) -> Column:
+    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def numbered_blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK_TOKENS) -> DataFrame:
+    """source, block_no (0-based, without gaps per source), n_tokens and tokens of every block.
+
+    Texts are read and tokenised once and the blocks written once. Only the numbers of blocks of each task are summed:
+    inside spans of SPAN tasks, and over the spans.
+    """
+    blocks = materialise(token_blocks(docs, tokenizer, block), "blocks")
+    per = blocks.groupBy("source", "part").agg(F.count("*").alias("c")).withColumn("span", F.floor(F.col("part") / SPAN))
+    spans = per.groupBy("source", "span").agg(F.sum("c").alias("c"))
+    spans = spans.select("source", "span", _before(spans, ["source"], "span", "c").alias("start"))
+    base = per.withColumn("inner", _before(per, ["source", "span"], "part", "c")).join(spans, ["source", "span"])
+    return blocks.join(base.select("source", "part", (F.col("start") + F.col("inner")).alias("base")), ["source", "part"]).select(
+        "source", (F.col("base") + F.col("k")).alias("block_no"), "n_tokens", "tokens"
+    )
 
 
 def plan_totals(sources: list[dict], total: float | None) -> dict[str, float]:
@@ -71,28 +135,6 @@ def plan_totals(sources: list[dict], total: float | None) -> dict[str, float]:
     return {k: max(0.0, v) for k, v in take.items()}
 
 
-def pack(tokens: DataFrame, block: int = BLOCK_TOKENS, bundle: int = BUNDLE_TOKENS) -> DataFrame:
-    """source, block_no (0-based, without gaps per source), tokens and n_tokens of every block.
-
-    A source's documents are spread over bundles by hash, as many as its size asks for; offsets are running sums inside a
-    bundle, so a source with a third of all documents is many small groups. Bundles are then numbered by running sums.
-    """
-    sized = tokens.withColumn("n", F.size("tokens").cast("bigint")).where("n > 0")
-    size = sized.groupBy("source").agg((F.floor(F.sum("n") / bundle) + 1).cast("bigint").alias("bundles"))
-    placed = sized.join(size, "source").withColumn("bundle", F.pmod(F.xxhash64("doc_id"), F.col("bundles")))
-    run = W.partitionBy("source", "bundle").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    at = placed.withColumn("begin", F.sum("n").over(run.rowsBetween(W.unboundedPreceding, -1))).withColumn("begin", F.coalesce("begin", F.lit(0)))
-    cuts = at.select("source", "bundle", "begin", "n", "tokens", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("n") - 1) / block))).alias("k"))
-    lo = F.greatest(F.col("k") * block, F.col("begin"))
-    hi = F.least((F.col("k") + 1) * block, F.col("begin") + F.col("n"))
-    cut = cuts.select("source", "bundle", "k", lo.alias("lo"), F.slice("tokens", (lo - F.col("begin") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-    blocks = cut.groupBy("source", "bundle", "k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "piece"))), lambda x: x["piece"])).alias("tokens"))
-    blocks = materialise(blocks.withColumn("n_tokens", F.size("tokens")), "blocks")
-    per = blocks.groupBy("source", "bundle").agg(F.count("*").alias("c"))
-    base = per.withColumn("base", F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("bundle").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return blocks.join(base.select("source", "bundle", "base"), ["source", "bundle"]).select("source", (F.col("base") + F.col("k")).alias("block_no"), "n_tokens", "tokens")
-
-
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each element a pseudorandom permutation, chosen by key, of 0..size-1, at index: a Feistel network with cycle walking."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(2, size)) / 2)).astype(np.uint64)
@@ -124,67 +166,71 @@ def plan_slots(take: dict[str, float], facts: dict[str, tuple[int, int, int]]) -
     return {k: v for k, v in slots.items() if v}
 
 
-def draw_slots(spark, planned: dict[str, int], seed: int, shard_blocks: int) -> DataFrame:
-    """shard, source, slot (numbered per source over all shards): multinomial draws with the planned slots as weights."""
+EXACT_DRAW = 10**9  # slots up to which numpy draws exactly
+
+
+def halve(counts: np.ndarray, n: int, key: list[int]) -> np.ndarray:
+    """How many of each source's slots fall on n of all slots, drawn without replacement."""
+    r = np.random.default_rng(key)
+    total = int(counts.sum())
+    if total < EXACT_DRAW:
+        return r.multivariate_hypergeometric(counts, n, method="marginals")
+    # Beyond that the normal limit, brought back to whole numbers that add up.
+    p = n / total
+    x = np.clip(np.rint(counts * p + r.standard_normal(len(counts)) * np.sqrt(counts * p * (1 - p))), 0, counts).astype(np.int64)
+    for i in np.argsort(-counts, kind="stable"):
+        x[i] += np.clip(n - x.sum(), -x[i], counts[i] - x[i])
+    return x
+
+
+def draw_slots(spark: SparkSession, planned: dict[str, int], seed: int, shard_blocks: int) -> DataFrame:
+    """shard, source, slot (numbered per source over all shards): how many slots of each shard a source fills is a
+    multinomial draw with the planned slots as weights, given that all shards together hold the planned slots."""
     names = sorted(planned)
-    need = np.array([planned[k] for k in names], dtype=float)
+    need = np.array([planned[k] for k in names], dtype=np.int64)
     n_slots = int(need.sum())
     shards = -(-n_slots // shard_blocks) if n_slots else 0
-    p = need / need.sum() if n_slots else need
+    slots_to = lambda s: min(n_slots, s * shard_blocks)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # from all shards down to the last one drawn
         for b in batches:
             rows = []
-            for s in b["id"]:
-                slots = shard_blocks if s < shards - 1 else n_slots - shard_blocks * (shards - 1)
-                counts = np.random.default_rng([seed, int(s)]).multinomial(slots, p)
-                rows += [(s, names[i], int(c)) for i, c in enumerate(counts) if c]
+            for s in b["id"].tolist():
+                while path and not path[-1][0] <= s < path[-1][1]:
+                    path.pop()
+                if not path:
+                    path.append((0, shards, need, np.zeros(len(need), np.int64)))
+                while path[-1][1] - path[-1][0] > 1:
+                    lo, hi, counts, before = path[-1]
+                    middle = (lo + hi) // 2
+                    left = halve(counts, slots_to(middle) - slots_to(lo), [seed, lo, hi])
+                    path.append((lo, middle, left, before) if s < middle else (middle, hi, counts - left, before + left))
+                _, _, counts, before = path[-1]
+                rows += [(s, names[i], int(before[i]), int(c)) for i, c in enumerate(counts) if c]
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "source", "c"])
+                yield pd.DataFrame(rows, columns=["shard", "source", "before", "c"])
 
-    drawn = spark.range(shards).mapInPandas(draw, "shard long, source string, c long")
-    # Shards are summed in ranges first, so that a running sum over all shards of a source is no single large group.
-    span = 4096
-    drawn = drawn.withColumn("range", F.floor(F.col("shard") / span))
-    ranges = drawn.groupBy("source", "range").agg(F.sum("c").alias("rc"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("rc").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("rc")
-    inside = W.partitionBy("source", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = drawn.withColumn("inner", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(ranges, ["source", "range"])
-    return starts.select("shard", "source", F.explode(F.expr("sequence(before + inner, before + inner + c - 1)")).alias("slot"))
+    drawn = spark.range(shards).mapInPandas(draw, "shard long, source string, before long, c long")
+    return drawn.select("shard", "source", F.explode(F.expr("sequence(before, before + c - 1)")).alias("slot"))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, tokenizer: str | None = None) -> DataFrame:
     """The mixture: shard, source, slot, repeat_no, block_no, n_tokens, tokens.
 
-    ``total``: tokens wanted; null means as many as the documents of the target sources hold. Multinomial draws miss the
-    planned slots of a source by about their square root; slots that a source has too many, in slot order, go to the
-    sources that have too few, so that shares are those planned and no cap is passed.
+    ``total``: tokens wanted; null means as many as the documents of the target sources hold. Every source gets the slots
+    planned for it, so shares are exact up to a block and no cap is passed.
     """
     spark = docs.sparkSession
-    blocks = materialise(pack(tokenise(docs, tokenizer), block), "numbered-blocks")
+    blocks = materialise(numbered_blocks(docs, tokenizer or default_tokenizer(spark), block), "numbered-blocks")
     facts = {r.source: (r.b, r.t) for r in blocks.groupBy("source").agg(F.count("*").alias("b"), F.sum("n_tokens").alias("t")).toLocalIterator()}
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL").toLocalIterator()}
     sources = [{"source": k, "tokens": t, "target": want.get(k, (None, 0))[0], "cap": want.get(k, (None, 0))[1] or 0} for k, (b, t) in facts.items()]
     take = plan_totals(sources, total)
     planned = plan_slots(take, {k: (facts[k][0], facts[k][1], want[k][1]) for k in take})
-    slots = draw_slots(spark, planned, seed, shard_blocks)
-    # One row per source: its planned slots and its blocks.
-    room = spark.createDataFrame([(k, facts[k][0], n) for k, n in planned.items()] or [("", 0, 0)], "source string, blocks long, fits long")
-    slots = slots.join(F.broadcast(room), "source")
-    drawn = {r.source: r.n for r in slots.groupBy("source").agg(F.count("*").alias("n")).toLocalIterator()}
-    fit = slots.where("slot < fits")
-    ranges, at = [], 0
-    for k in sorted(planned):
-        short = planned[k] - drawn.get(k, 0)
-        if short > 0:
-            ranges.append((k, drawn.get(k, 0), at, at + short, facts[k][0], planned[k]))
-            at += short
-    if ranges:
-        # About the square root of all slots, per source: small beside what is moved anyway.
-        extra = slots.where("slot >= fits").withColumn("m", F.row_number().over(W.orderBy("source", "slot")) - 1)
-        to = spark.createDataFrame(ranges, "source string, drawn long, lo long, hi long, blocks long, fits long")
-        moved = extra.select("shard", "m").join(F.broadcast(to), F.expr("m >= lo AND m < hi")).select("source", "shard", (F.col("drawn") + F.col("m") - F.col("lo")).alias("slot"), "blocks", "fits")
-        fit = fit.select("source", "shard", "slot", "blocks", "fits").unionByName(moved)
+    # One row per source: its number of blocks.
+    room = spark.createDataFrame([(k, facts[k][0]) for k in planned] or [("", 0)], "source string, blocks long")
+    fit = draw_slots(spark, planned, seed, shard_blocks).join(F.broadcast(room), "source")
 
     def place(slot: pd.Series, size: pd.Series, salt: pd.Series) -> pd.Series:
         n = np.maximum(1, size.to_numpy(np.int64))

@@ -1,6 +1,7 @@
 """Problems 8 and 9: leaks against brute force, mixtures against their promises."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +88,24 @@ def test_permutation(n):
         assert sorted(p.tolist()) == list(range(n))
 
 
+@pytest.mark.parametrize("size", [1, 7, 32])
+def test_draws_keep_the_plan(spark, size):
+    plan = {"a": 1000, "b": 333, "c": 1}
+    got = mx.draw_slots(spark, plan, 3, size).collect()
+    by = {k: sorted(r.slot for r in got if r.source == k) for k in plan}
+    assert by == {k: list(range(n)) for k, n in plan.items()}
+    per = Counter(r.shard for r in got)
+    assert set(list(per.values())[:-1]) <= {size, 1334 % size or size} and sum(per.values()) == 1334
+    a = [Counter(r.shard for r in got if r.source == "a")[s] for s in range(len(per))]
+    assert size == 1 or len(set(a)) > 1 and abs(sum(a) / 1334 - 1000 / 1334) < 1e-9
+
+
+def test_draws_beyond_the_exact_range():
+    c = np.array([3 * 10**10, 10**9, 5, 0])
+    x = mx.halve(c, 10**10, [1, 2])
+    assert x.sum() == 10**10 and (x >= 0).all() and (x <= c).all() and abs(x[0] / 10**10 - c[0] / c.sum()) < 1e-4
+
+
 def test_totals():
     s = [{"source": "a", "tokens": 100, "target": 0.5, "cap": 1}, {"source": "b", "tokens": 1000, "target": 0.5, "cap": 2}, {"source": "c", "tokens": 50, "target": None, "cap": 3}]
     t = mx.plan_totals(s, None)
@@ -102,14 +121,18 @@ def corpus(spark):
 
 
 def test_blocks_keep_every_token(spark, corpus):
-    t = mx.tokenise(corpus)
-    b = mx.pack(t, block=64, bundle=2000)
-    want = {r.source: r.n for r in t.groupBy("source").agg(F.sum(F.size("tokens")).alias("n")).collect()}
+    encode = mx._encoder(mx.default_tokenizer(spark))
+    b = mx.numbered_blocks(corpus.repartition(5, "doc_id"), mx.default_tokenizer(spark), block=64).cache()
+    want, tokens = Counter(), Counter()
+    for r in corpus.where("text IS NOT NULL AND source IS NOT NULL").collect():
+        for ids in encode([r.text]):
+            want[r.source] += len(ids)
+            tokens.update(ids)
     assert {r.source: r.n for r in b.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()} == want
     no = b.groupBy("source").agg(F.count("*").alias("c"), F.count_distinct("block_no").alias("d"), F.min("block_no").alias("lo"), F.max("block_no").alias("hi"), F.max("n_tokens").alias("m"))
     assert all(r.c == r.d == r.hi + 1 and r.lo == 0 and r.m <= 64 for r in no.collect())
     hist = lambda df: {r.t: r.n for r in df.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    assert hist(b) == hist(t)
+    assert hist(b) == tokens
 
 
 def test_mixture_keeps_shares_and_caps(spark, corpus):
