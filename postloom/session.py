@@ -38,6 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
         set_dir = jsc.getCheckpointDir()
         named = set_dir.get() if set_dir.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="postloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -67,7 +69,8 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     want = factor * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want // 2:
         return df
-    return df.repartition(want, *keys)
+    # In order of the keys, so that a task that is run again sees its rows in the same order.
+    return df.repartition(want, *keys).sortWithinPartitions(*keys) if keys else df.repartition(want)
 
 
 _ROOT = Path(__file__).resolve().parents[1]
