@@ -23,7 +23,7 @@ def class_terms(df: DataFrame, by: str, tokens: str, k: int) -> DataFrame:
     mean = size.agg(F.avg("n").alias("a"))  # one row
     total = tf.groupBy("term").agg(F.sum("f").alias("ft"))
     s = tf.join(size, by).join(total, "term").join(F.broadcast(mean)).withColumn("score", F.col("f") / F.col("n") * F.log(1 + F.col("a") / F.col("ft")))
-    order = W.partitionBy(by).orderBy(F.desc("score"), "term")
+    order = W.partitionBy(by).orderBy(F.round("score", 9).desc(), "term")  # sums of floats differ in their last digits
     return s.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(by, "term", "score")
 
 
