@@ -36,7 +36,7 @@ def new_rows(batch: DataFrame, seen: DataFrame, key: str, order: list[Column]) -
     return keep_first(batch, [key], order).join(seen.select(key).distinct(), key, "left_anti")
 
 
-def connected(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     """``id`` and ``root`` (the smallest id of its component) for every id in pairs (a, b).
 
     Large-star and small-star rounds: each round is two shuffles on ids, written to the shared folder; the number of rounds
@@ -55,6 +55,8 @@ def connected(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         edges = after
         if same:
             break
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
@@ -97,3 +99,39 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5
     root = connected(pairs.select("a", "b")).withColumnRenamed("id", "head")
     out = rows.select("id", "head").join(root, "head", "left").join(links, "head", "left")
     return out.select(F.col("id").alias(id_col), F.col("head").alias("copy_of"), F.coalesce("root", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_dedupe(df: DataFrame, id_col: str, text_col: str, n: int = 3, least: float = 0.9, rounds: int = 1000) -> DataFrame:
+    """id and ``kept`` of every row: in the order of ids, a row is dropped if its set of n-word shingles is similar (Jaccard)
+    to that of an earlier row that is kept. Texts with fewer words are one shingle; those without words are kept.
+
+    Rows with the same words follow the first of them. Of the rest, each round keeps the rows all of whose earlier partners
+    are dropped and drops those with a kept earlier partner; the number of rounds is that of the longest chain of undecided
+    rows, and not reaching its end is an error, not a result.
+    """
+    tokens = df.select(F.col(id_col).alias("id"), words(F.col(text_col), "[A-Za-z0-9]+").alias("ws"))
+    keyed = materialise(tokens.select("id", F.sha2(F.array_join("ws", " "), 256).alias("k"), F.size("ws").alias("n_words"), "ws"), "words")
+    heads = keyed.groupBy("k").agg(F.min("id").alias("head"))
+    rows = keyed.join(heads, "k")
+    sets = rows.where("id = head AND n_words > 0").select("id", shingles(F.col("ws"), n).alias("items"))
+    pairs = materialise(similar_pairs(sets, least).select("a", "b"), "similar")
+    open_ = pairs  # pairs both of whose rows are undecided
+    dropped = None
+    for _ in range(rounds):
+        first = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        gone = materialise(open_.join(first.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        if gone.isEmpty():
+            break
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        decided = gone.unionByName(first)
+        left = open_.join(decided.withColumnRenamed("id", "a"), "a", "left_anti").join(decided.withColumnRenamed("id", "b"), "b", "left_anti")
+        open_ = materialise(left.select("a", "b"), "undecided")
+    else:
+        raise RuntimeError(f"undecided rows after {rounds} rounds")
+    out = rows.select("id", "head", "n_words")
+    if dropped is not None:
+        out = out.join(dropped.select(F.col("id").alias("head"), F.lit(True).alias("gone")), "head", "left")
+    else:
+        out = out.withColumn("gone", F.lit(None).cast("boolean"))
+    kept = F.col("gone").isNull() & ((F.col("id") == F.col("head")) | (F.col("n_words") == 0))
+    return out.select(F.col("id").alias(id_col), kept.alias("kept"))
