@@ -7,8 +7,10 @@ of message passing between chain and skip edges, for many documents at once.
 
 There are no labelled texts, so weights are fitted on a bounded sample of posts (SAMPLE, drawn by hash of the id) with
 labels of strict rules: full patterns, listed given names with a surname, titles, signatures. Segments in which the rules
-leave capitalised pairs undecided are not used. Word shapes, endings, neighbours and pattern hits are the features, so
-that unlisted names and unusual spellings are found by their form and company. The word lists behind rules and features
+leave capitalised pairs undecided are not used. Word shapes, endings, neighbours and pattern hits are the features;
+segments with patterned data are fitted with and without their hits, so that unlisted names and unusual spellings are found
+by their form and company. The weights of skip edges are fitted on the same labels. A span is what the field labels; a pattern
+hit that it overlaps only makes its ends exact. The word lists behind rules and features
 (words that are common, given names that stand alone) are counted over all posts.
 
 Only segments with any sign of personal data enter the field: a cheap test that is remembered per distinct segment.
@@ -35,8 +37,9 @@ from postloom.session import materialise
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 L = len(LABELS)
-SAMPLE, MOST_SEGMENTS, BUCKETS, EPOCHS = 20_000, 12_000, 1 << 16, 12
-SKIP_WEIGHT, ROUNDS = 1.5, 2
+SAMPLE, MOST_SEGMENTS, MOST_PLAIN, BUCKETS, EPOCHS = 20_000, 12_000, 1_500, 1 << 16, 12  # the first three bound the fit
+WINDOW = 120  # tokens of a segment fitted at once
+ROUNDS, MOST_SKIP = 2, 4.0  # of message passing; the greatest weight of a skip edge
 
 # Titles, words before a name, and marks of addresses.
 TITLES = set("sir ma'am ma’am maam mam prof dr dra engr atty mr mrs ms miss dean coach gng bb fr rev hon".split())
@@ -64,7 +67,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*|\d+|[^\w\s]|_")
 #: Ends of segments: terminators before a blank (a dot only after four letters or figures that are no abbreviation), line breaks.
 _CUT = re.compile(r"([!?.])(?:(?<=[!?])\s+|(?<=[a-z0-9]{4}\.)(?<!Brgy\.)(?<!Subd\.)(?<!Prof\.)(?<!Engr\.)(?<!Atty\.)(?<!Bldg\.)\s+(?=[A-Z~–—-]))|\n+")
 _SIGN = re.compile(
-    rf"@|[(\[{{]\s?at\s?[)\]}}]|\sdot\s|\b(?:{_STREET})\b|\d{{6}}|(?:\d[\s().-]?){{7}}|(?:\d[\s().-]{{2}}){{7}}|^\s*[~–—-]\s*[A-Z]"
+    rf"@|[(\[{{]\s?at\s?[)\]}}]|\sdot\s|\b(?:{_STREET})\b|(?:\d[A-Z-]*){{6}}|\b\d{{1,5}}[A-Z]?,?\s+[A-Z][a-z]|(?:\d[\s().-]?){{7}}|(?:\d[\s().-]{{2}}){{7}}|^\s*[~–—-]\s*[A-Z]"
     r"|\b(?:[Ss]ir|SIR|[Mm]a[’']?am|[Pp]rof|Dra?|Engr|Atty|Mr|Mrs|Ms|Dean|Gng|Bb)\b\.?\s+[A-Z]"
 )
 _CAPITAL = re.compile(r"(?:\b([Ss]i|[Nn]i|[Kk]ay|[Kk]ang|[Ss]ina|[Nn]ina|[Kk]ina)\s+)?\b([A-Z][^\W\d_]+)(?:,?\s+(?:[A-Z]\.\s+)?(?=([A-Z][^\W\d_]+)))?")
@@ -178,14 +181,14 @@ def _mix(salt: int, *parts: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(20)) % np.uint64(BUCKETS)
 
 
-def features(segs: list[tuple[str, list[tuple[int, int, str]]]], lex: Lexicon) -> list[np.ndarray]:
+def features(segs: list[tuple[str, list[tuple[int, int, str]]]], lex: Lexicon, blind: bool = False) -> list[np.ndarray]:
     """Hashed features of the tokens of each segment: its word, form and ending, its neighbours', and the pattern hits that
-    it lies in. Words are looked up one by one, the features of all tokens are mixed at once."""
+    it lies in (none if ``blind``). Words are looked up one by one, the features of all tokens are mixed at once."""
     edge, end = _hash("^"), _hash("$")
     low, kind, word, three, four, hit, real = [], [], [], [], [], [], []
     for segment, tokens in segs:
         hits = [0] * len(tokens)
-        for k, pattern in enumerate(_PATTERNS.values()):
+        for k, pattern in enumerate(() if blind else _PATTERNS.values()):
             for m in pattern.finditer(segment):
                 first = True
                 for i, (a, b, _) in enumerate(tokens):
@@ -315,7 +318,8 @@ def _company(words: list[str], i: int, k: int) -> tuple[str, str]:
 class Field:
     """Weights and inference of the field."""
 
-    def __init__(self, emit: np.ndarray | None = None, move: np.ndarray | None = None):
+    def __init__(self, emit: np.ndarray | None = None, move: np.ndarray | None = None, skip: np.ndarray | None = None):
+        self.skip = np.zeros(1 + len(KINDS), np.float32) if skip is None else skip.astype(np.float32)  # outside, then each kind
         self.emit = np.zeros((BUCKETS, L), np.float32) if emit is None else emit.astype(np.float32)
         self.move = np.zeros((L, L), np.float32) if move is None else move.astype(np.float32)
         self.ban = np.zeros((L, L), np.float32)
@@ -390,6 +394,21 @@ class Field:
                 self.emit[used] += rate * grad / np.sqrt(ge[used])
         return self
 
+    def fit_skips(self, ties: list[list[int]]) -> Field:
+        """The weights of skip edges from the kinds (0: outside) of tied tokens: the pointwise mutual information of two tied
+        tokens being of one kind, smoothed and never negative, so that edges only ever draw labels together."""
+        n, both = np.ones(1 + len(KINDS)), np.full(1 + len(KINDS), 0.5)
+        pairs = 1.0
+        for kinds in ties:
+            c = np.bincount(kinds, minlength=1 + len(KINDS)).astype(float)
+            t = c.sum()
+            n += c * (t - 1)
+            both += c * (c - 1)
+            pairs += t * (t - 1)
+        rate = n / n.sum()
+        self.skip = np.clip(np.log((both / pairs) / (rate * rate)), 0.0, MOST_SKIP).astype(np.float32)
+        return self
+
     def decode(self, docs: list[tuple[np.ndarray, list[bool], list[list[int]]]]) -> list[list[int]]:
         """Best labels of each document. A document is its tokens' features, which tokens begin a segment, and the groups of
         tokens tied by skip edges."""
@@ -421,7 +440,7 @@ class Field:
                         same = np.stack([p[:, 0], *(p[:, 1 + 2 * k] + p[:, 2 + 2 * k] for k in range(len(KINDS)))], axis=1)
                         for n, t in enumerate(g):
                             others = np.delete(same, n, axis=0)
-                            m = np.log(1 + (np.exp(SKIP_WEIGHT) - 1) * others).sum(axis=0)
+                            m = np.log(1 + (np.exp(self.skip) - 1) * others).sum(axis=0)
                             new[r, t, 0] = m[0]
                             new[r, t, 1:] = m[1 + kind]
                     extra = new
@@ -533,7 +552,7 @@ def learn(sample: list[str], given: set[str], seed: int = 1, lex: Lexicon | None
     for t in texts:
         for a, b in segments(t):
             segs[t[a:b]] = None
-    work = [(s, k) for s in sorted(segs, key=lambda x: zlib.crc32(x.encode())) if (k := tokenise(s)) and len(k) <= 120]
+    work = [(s, k) for s in sorted(segs, key=lambda x: zlib.crc32(x.encode())) if (k := tokenise(s))]
     company: Counter = Counter()
     begin = 1 + 2 * KINDS.index("name")
     for s, tokens in work:
@@ -552,16 +571,54 @@ def learn(sample: list[str], given: set[str], seed: int = 1, lex: Lexicon | None
             continue
         if any(y):
             used.append((s, tokens, y))
-        elif lex.signs(s) or len(plain) < 1500:
+        elif lex.signs(s) or len(plain) < MOST_PLAIN:
             plain.append((s, tokens, y))
         if len(used) >= MOST_SEGMENTS:
             break
+    # Segments with patterned data are fitted again without the pattern hits, so that the field knows such data by its form
+    # and company, too.
+    unseen = [x for x in used if any(v and v != begin and v != begin + 1 for v in x[2])]
     used += plain[: MOST_SEGMENTS // 2]
-    feats, labels = features([(s, t) for s, t, _ in used], lex), [y for _, _, y in used]
+    feats = features([(s, t) for s, t, _ in used], lex) + features([(s, t) for s, t, _ in unseen], lex, blind=True)
+    labels = [y for _, _, y in used + unseen]
     field = Field()
     if any(any(y) for y in labels):
-        field.fit(feats, labels, seed)
-    return {"emit": field.emit.astype(np.float16), "move": field.move, "given": lex.given, "common": lex.common, "alone": lex.alone, "segments": len(labels)}
+        cut = [(f[i : i + WINDOW], y[i : i + WINDOW]) for f, y in zip(feats, labels, strict=True) for i in range(0, len(y), WINDOW)]
+        field.fit([f for f, _ in cut], [y for _, y in cut], seed)
+        field.fit_skips(_tied_kinds(texts, lex, company))
+    return {"emit": field.emit.astype(np.float16), "move": field.move, "skip": field.skip, "given": lex.given, "common": lex.common, "alone": lex.alone, "segments": len(labels)}
+
+
+def _tied_kinds(texts: list[str], lex: Lexicon, company: Counter) -> list[list[int]]:
+    """The kinds that the strict rules give to the tokens of each tied group of each text."""
+    out = []
+    for t in texts:
+        words, kinds = [], []
+        for a, b in segments(t):
+            s = t[a:b]
+            tokens = tokenise(s)
+            y = silver(s, tokens, lex, company)
+            if y is not None:
+                words += [w for _, _, w in tokens]
+                kinds += [(v + 1) // 2 for v in y]
+        out += [[kinds[i] for i in g] for g in tied(words, lex)]
+    return out
+
+
+def tied(tokens: list[str], lex: Lexicon) -> list[list[int]]:
+    """The groups of tokens of one document that skip edges tie: equal or similar rare words, equal long numbers."""
+    groups: dict[str, list[int]] = {}
+    for i, w in enumerate(tokens):
+        key = _tie(w, lex)
+        if key:
+            groups.setdefault(key, []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
+
+
+def _tie(w: str, lex: Lexicon) -> str | None:
+    if lex.rare(w):
+        return w.lower()[:5] if len(w) > 5 else w.lower()  # similar words share their first five letters
+    return w if w.isdigit() and len(w) >= 4 else None
 
 
 class Finder:
@@ -569,7 +626,7 @@ class Finder:
 
     def __init__(self, model: dict):
         self.lex = Lexicon(model["given"], model["common"], model["alone"])
-        self.field = Field(model["emit"], model["move"])
+        self.field = Field(model["emit"], model["move"], model["skip"])
         self.plain: dict[str, bool] = {}
 
     def _signs(self, segment: str) -> bool:
@@ -581,25 +638,25 @@ class Finder:
         return got
 
     def _document(self, text: str) -> tuple[list, list, tuple, str] | None:
+        pieces = [(a, b, text[a:b]) for a, b in segments(text)]
+        chosen = [self._signs(p[2]) for p in pieces]
+        if not any(chosen):
+            return None
+        if not all(chosen):
+            # What a segment without a sign shares with one that has any is tied to it, so it enters, too.
+            rare = {k for p, c in zip(pieces, chosen, strict=True) if c for _, _, w in tokenise(p[2]) if (k := _tie(w, self.lex))}
+            if rare:
+                chosen = [c or any(_tie(w, self.lex) in rare for _, _, w in tokenise(p[2])) for p, c in zip(pieces, chosen, strict=True)]
         tokens, segs, first = [], [], []
-        for a, b in segments(text):
-            s = text[a:b]
-            if not self._signs(s):
-                continue
-            own = tokenise(s)
-            segs.append((s, own))
-            first += [i == 0 for i in range(len(own))]
-            tokens += [(a + x, a + y, w) for x, y, w in own]
+        for (a, _, s), c in zip(pieces, chosen, strict=True):
+            if c:
+                own = tokenise(s)
+                segs.append((s, own))
+                first += [i == 0 for i in range(len(own))]
+                tokens += [(a + x, a + y, w) for x, y, w in own]
         if not tokens:
             return None
-        groups: dict[str, list[int]] = {}
-        for i, (_, _, w) in enumerate(tokens):
-            if self.lex.rare(w):
-                # Similar words share their first five letters.
-                groups.setdefault(w.lower()[:5] if len(w) > 5 else w.lower(), []).append(i)
-            elif w.isdigit() and len(w) >= 4:
-                groups.setdefault(w, []).append(i)
-        return tokens, segs, (first, [g for g in groups.values() if len(g) > 1]), text
+        return tokens, segs, (first, tied([w for _, _, w in tokens], self.lex)), text
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(begin, end, kind) in the stored text of every piece found, for each text."""
@@ -634,14 +691,15 @@ class Finder:
             i = j
 
     def _exact(self, text: str, tokens: list[tuple[int, int, str]], kind: str) -> tuple[int, int] | None:
-        """The span cut to what its kind allows: the pattern hit that it overlaps, or a name's capitalised words."""
+        """The span cut to what its kind allows: a pattern hit that it overlaps gives its exact ends, else the tokens as
+        labelled if they can be of that kind at all; of a name the capitalised words."""
         a, b = tokens[0][0], tokens[-1][1]
         if kind != "name":
             lo, hi = text.rfind("\n", 0, a) + 1, text.find("\n", b)
             line = text[lo : len(text) if hi < 0 else hi]
             hits = [m for m in _PATTERNS[kind].finditer(line) if m.start() + lo < b and m.end() + lo > a]
             if not hits:
-                return None
+                return self._labelled(text, a, b, kind)
             m = max(hits, key=lambda m: min(m.end() + lo, b) - max(m.start() + lo, a))
             s = m[0].rstrip(" ,;")
             if kind == "address" and s.endswith(".") and not re.search(r"(?:St|Ave|Rd|Subd|Brgy|Blk|Bldg|Avda)\.$", s):
@@ -655,6 +713,18 @@ class Finder:
         return (own[0][0], own[-1][1]) if own and len(own[0][2]) > 1 else None
 
 
+    @staticmethod
+    def _labelled(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+        """A labelled span that no pattern knows, without the marks around it, if it holds what its kind can't be without."""
+        s = text[a:b].strip(" ,;.:!?-–—()[]\"'")
+        a = text.index(s, a) if s else a
+        digits = sum(c.isdigit() for c in s)
+        fit = {"email": ("@" in s or " at " in s.lower()) and len(s) > 5, "phone": 7 <= digits <= 15, "id_number": 6 <= digits and len(s) <= 2 * digits, "address": digits > 0 and " " in s and any(c.isupper() for c in s)}
+        if not fit[kind]:
+            return None
+        return (a - 1 if kind == "phone" and a and text[a - 1] in "+(" else a), a + len(s)
+
+
 def find_personal(df: DataFrame, model: dict, id_col: str, text: str) -> DataFrame:
     """id, kind, found_text, begin and end (characters) of every piece of personal data."""
     kind = df.schema[id_col].dataType.simpleString()

@@ -185,6 +185,28 @@ def test_personal_finds(person_model):
     assert f.find(["", "   ", "x"]) == [[], [], []] and f.find([]) == []
 
 
+def test_the_field_decides_where_no_pattern_hits(person_model):
+    f = ps.Finder(person_model)
+    look = lambda t: {(k, t[a:b]) for a, b, k in f.find([t])[0]}
+    for text, kind, span in (
+        ("Please write to ana12 @ mail . example now.", "email", "ana12 @ mail . example"),
+        ("Please deliver it to 17 Wiso Heights, Rilube before noon.", "address", "17 Wiso Heights, Rilube"),
+    ):
+        assert not any(m for m in ps._PATTERNS[kind].finditer(text)), text
+        got = look(text)
+        assert any(k == kind and x.split()[0] == span.split()[0] for k, x in got), (text, got)
+
+
+def test_skip_edges_are_fitted(person_model):
+    w = ps.Field().fit_skips([[5, 5], [5, 5, 5], [0, 0], [0, 0]]).skip
+    assert w[5] > 0.3 and (w >= 0).all() and (w <= ps.MOST_SKIP).all() and (ps.Field().fit_skips([]).skip >= 0).all()
+    assert person_model["skip"].shape == (6,)
+    # What a sure name shares with a segment that has no sign of its own brings that segment in.
+    f = ps.Finder({**person_model, "skip": np.full(6, 3.0, np.float32)})
+    d = f._document("Si Prof. Limueco na naman ang huli. limot na ni Limueco ang klase. ang haba ng pila.")
+    assert len(d[1]) == 2 and d[2][1]
+
+
 def test_word_lists_cover_all_posts(spark):
     """Words that the sample lacks are judged by all posts, by the same rule at every size."""
     posts = [f"plain {i}" for i in range(300)] + [f"we met at kubo {i} with Mr. Tanduay" for i in range(5)] + [f"{i} Rilube is far" for i in range(25)] + [f"oh Joy, {i}" for i in range(4)]
