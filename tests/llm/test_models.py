@@ -203,7 +203,7 @@ def test_skip_edges_are_fitted(person_model):
     assert person_model["skip"].shape == (6,)
     # What a sure name shares with a segment that has no sign of its own brings that segment in.
     f = ps.Finder({**person_model, "skip": np.full(6, 3.0, np.float32)})
-    d = f._document("Si Prof. Limueco na naman ang huli. limot na ni Limueco ang klase. ang haba ng pila.")
+    d = f._document("Si Prof. Limueco na naman ang huli.\nLimueco na naman siya.\nang haba ng pila.")
     assert len(d[1]) == 2 and d[2][1]
 
 
