@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -186,7 +185,7 @@ def infer_merged_schema(df: DataFrame, json_col: str, anchor: str, buckets: int
                     _observe(r["record"], tree)
                     n += 1
         if tree is not None:
-            yield pd.DataFrame({"bucket": [zlib.crc32(json.dumps(tree, sort_keys=True).encode()) % buckets], "tree": [json.dumps(tree)]})
+            yield pd.DataFrame({"tree": [json.dumps(tree)]})
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
         tree = None
@@ -194,7 +193,8 @@ def infer_merged_schema(df: DataFrame, json_col: str, anchor: str, buckets: int
             tree = merge_trees(tree, json.loads(t))
         return pd.DataFrame({"tree": [json.dumps(tree)]})
 
-    parts = df.select(F.col(json_col).alias("j")).mapInPandas(observe, "bucket long, tree string")
+    # Equal trees, the normal case, are one row before they meet.
+    parts = df.select(F.col(json_col).alias("j")).mapInPandas(observe, "tree string").distinct().withColumn("bucket", F.pmod(F.xxhash64("tree"), F.lit(buckets)))
     tree = None
     for row in parts.groupBy("bucket").applyInPandas(merge, "tree string").toLocalIterator():
         tree = merge_trees(tree, json.loads(row["tree"]))
@@ -210,7 +210,7 @@ def _conform(v, shape: dict):
         return {k: _conform(v.get(k), s) for k, s in shape["fields"].items()} if isinstance(v, dict) else None
     if shape["shape"] == "array":
         if isinstance(v, dict):
-            keyed = v and all(_DATA_KEY.fullmatch(k) for k in v)
+            keyed = all(_DATA_KEY.fullmatch(k) for k in v)  # also an empty object, which has no elements
             v = [v[k] for k in sorted(v, key=lambda k: (len(k), k))] if keyed else [v]
         if not isinstance(v, list):
             v = [v]
@@ -290,16 +290,17 @@ def _unique(named: list[tuple[str, Column]], taken: set[str]) -> list[Column]:
     return out
 
 
-def flatten_records(df: DataFrame, root: str, keys: list[str]) -> dict[str, DataFrame]:
+def flatten_records(df: DataFrame, root: str, keys: list[str], carry: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """A nested table as flat tables: ``root`` and one table per array or map level, named by its path.
 
-    ``keys`` identify a row of df and stand in every table. ``_id`` is made of keys and ordinals, so that it is the same
+    ``keys`` identify a row of df and stand in every table, as do the scalars of a row named by ``carry``. ``_id`` is made of keys and ordinals, so that it is the same
     when a lost task is run again. Structs are opened in place. Only narrow explodes are used: no shuffle at any level.
     """
-    for k in keys:
+    for k in (*keys, *carry):
         if k not in df.columns:
             raise ValueError(f"no column {k}")
     ident = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    keys = [*keys, *carry]
     others = T.StructType([f for f in df.schema.fields if f.name not in keys])
     tables: dict[str, DataFrame] = {}
 
