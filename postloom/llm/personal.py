@@ -39,7 +39,7 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 L = len(LABELS)
 SAMPLE, MOST_SEGMENTS, MOST_PLAIN, BUCKETS, EPOCHS = 20_000, 12_000, 1_500, 1 << 16, 12  # the first three bound the fit
 WINDOW = 120  # tokens of a segment fitted at once
-ROUNDS, MOST_SKIP = 2, 4.0  # of message passing; the greatest weight of a skip edge
+ROUNDS, MOST_SKIP, UNFITTED_SKIP = 2, 4.0, 1.5  # of message passing; the greatest weight of a skip edge, and that of an unfitted field
 
 # Titles, words before a name, and marks of addresses.
 TITLES = set("sir ma'am ma’am maam mam prof dr dra engr atty mr mrs ms miss dean coach gng bb fr rev hon".split())
@@ -319,7 +319,7 @@ class Field:
     """Weights and inference of the field."""
 
     def __init__(self, emit: np.ndarray | None = None, move: np.ndarray | None = None, skip: np.ndarray | None = None):
-        self.skip = np.zeros(1 + len(KINDS), np.float32) if skip is None else skip.astype(np.float32)  # outside, then each kind
+        self.skip = np.full(1 + len(KINDS), UNFITTED_SKIP, np.float32) if skip is None else skip.astype(np.float32)  # outside, then each kind
         self.emit = np.zeros((BUCKETS, L), np.float32) if emit is None else emit.astype(np.float32)
         self.move = np.zeros((L, L), np.float32) if move is None else move.astype(np.float32)
         self.ban = np.zeros((L, L), np.float32)
