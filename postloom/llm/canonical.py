@@ -94,6 +94,44 @@ def canonical_form(text: str) -> str:
     return folded_form(reader_form(text))
 
 
+_IGNORED = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in IGNORABLE) + "]")
+
+
+def folded(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """The text as read, and for each of its characters where it begins and ends in the stored text (None: the same)."""
+    if text.isascii():
+        return text, None, None
+    out, begin, end = [], [], []
+    at = 0
+    for m in _ODD.finditer(text):  # everything between is as read
+        out.append(text[at : m.start()])
+        begin += range(at, m.start())
+        end += range(at + 1, m.start() + 1)
+        at = m.end()
+        seen = _fold(m[0])
+        out.append(seen)
+        begin += [m.start()] * len(seen)
+        end += [at] * len(seen)
+    out.append(text[at:])
+    begin += range(at, len(text))
+    end += range(at + 1, len(text) + 1)
+    return "".join(out), begin, end
+
+
+#: A character outside ASCII with the marks on it, or an ASCII letter with marks.
+_ODD = re.compile("[^\\x00-\\x7f\\u0300-\\u036f][\\u0300-\\u036f]*|[\\x00-\\x7f]?[\\u0300-\\u036f]+")
+_FOLDS: dict[str, str] = {}
+
+
+def _fold(cluster: str) -> str:
+    got = _FOLDS.get(cluster)
+    if got is None:
+        got = "" if _IGNORED.fullmatch(cluster) else reader_form(cluster)
+        if len(_FOLDS) < 100_000:
+            _FOLDS[cluster] = got
+    return got
+
+
 REMEMBERED = 50_000  # values whose form a task remembers at once
 
 

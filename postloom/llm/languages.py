@@ -19,17 +19,18 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.canonical import canonical_form, reader_form
+from postloom.llm.canonical import canonical_form, folded, reader_form
 from postloom.session import materialise
 
 LANGUAGES = ["en", "tl", "ceb", "ilo", "es"]
-SLOTS, HASHES = 1 << 21, 3
+HASHES, SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS, BLOCK = 3, 12, 1 << 21, 1 << 28, 1 << 16
 MIN_COUNT, MIN_PART, KEEP = 3, 0.15, 1e-6
 _BITS, _FULL = 24, (1 << 24) - 1  # of a packed count
 
@@ -87,10 +88,10 @@ def _grams(word: str) -> list[str]:
     return [w, *(w[i : i + n] for n in (3, 4, 5) if n < len(w) for i in range(len(w) - n + 1))]
 
 
-def _slots(gram: str) -> tuple[int, ...]:
+def _slots(gram: str, size: int) -> tuple[int, ...]:
     b = gram.encode()
     h1, h2 = zlib.crc32(b), zlib.adler32(b) * 2654435761 + zlib.crc32(b, 0x9E3779B9)
-    return tuple((h1 + i * (h2 | 1)) % SLOTS for i in range(HASHES))
+    return tuple((h1 + i * (h2 | 1)) % size for i in range(HASHES))
 
 
 def label_set(col: Column) -> Column:
@@ -160,10 +161,9 @@ def count_words(reference: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def build_filter(words: DataFrame) -> dict:
-    """The filter from counts of words and pairs: slots (SLOTS bytes) and the false-positive rate of each language.
+    """The filter from counts of words and pairs: slots (bytes, as many as the n-grams ask for) and the false-positive rate of each language.
 
-    The letter runs of a word are counted from the words' counts. What reaches the driver is the filter: per-partition
-    filters are OR-ed in slices first.
+    The letter runs of a word are counted from the words' counts. What reaches the driver is the finished filter, in blocks.
     """
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,38 +179,39 @@ def build_filter(words: DataFrame) -> dict:
 
     grams = materialise(_summed(_summed(words).mapInPandas(runs, _COUNTS)), "ngrams")
     totals = [float(x or 0) for x in grams.agg(*[F.sum(c) for c in _COLS]).first()]
+    rates = [F.col(c) / max(t, 1.0) for c, t in zip(_COLS, totals, strict=True)]
+    top = F.greatest(*rates)
+    mask = reduce(Column.bitwiseOR, [F.when((F.col(c) >= MIN_COUNT) & (r >= KEEP / 10) & (r >= MIN_PART * top), 1 << i).otherwise(0) for i, (c, r) in enumerate(zip(_COLS, rates, strict=True))])
+    members = grams.select("gram", mask.cast("int").alias("mask")).where("mask > 0")
+    size = filter_size(members.count())
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, n = np.zeros(SLOTS, np.uint8), 0
+    def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            c = b[_COLS].to_numpy(np.float64)
-            rate = c / np.maximum(totals, 1.0)
-            member = (c >= MIN_COUNT) & (rate >= KEEP / 10) & (rate >= MIN_PART * rate.max(axis=1, keepdims=True))
-            masks = (member * (1 << np.arange(len(LANGUAGES)))).sum(axis=1).astype(np.uint8)
-            for g, m in zip(b["gram"], masks.tolist(), strict=True):
-                if m:
-                    for s in _slots(g):
-                        slots[s] |= m
-                    n += 1
-        if n:
-            step = SLOTS // 16
-            yield pd.DataFrame({"k": range(16), "s": [zlib.compress(slots[i * step : (i + 1) * step].tobytes(), 1) for i in range(16)]})
-
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(SLOTS // 16, np.uint8)
-        for s in b["s"]:
-            out |= np.frombuffer(zlib.decompress(s), np.uint8)
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "s": [zlib.compress(out.tobytes(), 1)]})
-
-    got = grams.mapInPandas(bits, "k long, s binary").groupBy("k").applyInPandas(merge, "k long, s binary").toPandas()
-    slots = np.zeros(SLOTS, np.uint8)
+            yield pd.DataFrame({"slot": [s for g in b["gram"] for s in _slots(g, size)], "mask": np.repeat(b["mask"].to_numpy(), HASHES)})
+
+    def block(b: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(BLOCK, np.uint8)
+        out[b["slot"].to_numpy() % BLOCK] = b["mask"].to_numpy()
+        return pd.DataFrame({"k": [b["slot"].iloc[0] // BLOCK], "s": [zlib.compress(out.tobytes(), 1)]})
+
+    # Each slot's bits are OR-ed before slots meet in blocks, so a block is made of at most BLOCK rows.
+    merged = members.mapInPandas(slots_of, "slot long, mask int").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    got = merged.groupBy(F.expr(f"slot div {BLOCK}").alias("b")).applyInPandas(block, "k long, s binary").toPandas()
+    slots = np.zeros(size, np.uint8)
     for k, s in zip(got["k"], got["s"], strict=True):
-        part = np.frombuffer(zlib.decompress(s), np.uint8)
-        slots[k * len(part) : (k + 1) * len(part)] = part
+        slots[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(zlib.decompress(s), np.uint8)
     fill = np.array([np.mean((slots >> i) & 1) for i in range(len(LANGUAGES))])
     return {"slots": zlib.compress(slots.tobytes(), 1), "false": (fill**HASHES).tolist()}
 
 
+def filter_size(members: int) -> int:
+    """Slots for so many n-grams: at least SLOTS_EACH for each, a power of two. A filter that would not fit into a task is refused."""
+    size = max(LEAST_SLOTS, 1 << (SLOTS_EACH * max(1, members) - 1).bit_length())
+    if size > MOST_SLOTS:
+        raise ValueError(f"{members} n-grams need {size} slots, more than {MOST_SLOTS}; raise KEEP or MOST_SLOTS")
+    return size
+
+
 class Decider:
     """Decides the language of pieces of text by a filter."""
 
@@ -223,7 +224,7 @@ class Decider:
 
     def _mask(self, gram: str) -> int:
         m = 255
-        for s in _slots(gram):
+        for s in _slots(gram, len(self.slots)):
             m &= int(self.slots[s])
         return m
 
@@ -286,9 +287,10 @@ class Decider:
         return decide([(a, b, *got) for a, b in segments_of(text) if (got := segment(text[a:b])) is not None])
 
     def segments(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
-        """begin, end, language, confidence and known words of each segment with words; places are those in the reader's form."""
-        text = reader_form(text)
-        return [(a, b, *got) for a, b in segments_of(text) if (got := self.segment(text[a:b])) is not None]
+        """begin, end, language, confidence and known words of each segment with words; places are those in the stored text."""
+        seen, begin, end = folded(text)
+        at = lambda a, b: (a, b) if begin is None else (begin[a], end[b - 1])
+        return [(*at(a, b), *got) for a, b in segments_of(seen) if (got := self.segment(seen[a:b])) is not None]
 
 
 MIN_WORDS, MIN_CONFIDENCE = 4, 0.12
