@@ -14,15 +14,34 @@ from postloom.functions.numbers import clamp, clamp_flags
 RECORD = "struct<id:string,post_id:string,V:string,A:string,D:string,sarcasm:string>"
 
 
-def parse_answer(text: Column) -> Column:
-    """The score records of an answer: the whole text as JSON, else its first bracketed list, else a single object; null where
-    none of them is readable or any record lacks its id or a number. Truth values are no numbers."""
+def repaired(text: Column) -> Column:
+    """The first list or object of a text, mended where models break it: quotes of other kinds, bare keys, words of truth,
+    commas before an end, ends that are missing. Null where there is none."""
+    t = F.nullif(F.regexp_extract(text, r"(?s)(\[.*|\{.*)", 1), F.lit(""))
+    t = F.regexp_replace(t, r"(?s)^(\[.*\]|\{.*\})[^\]}]*$", "$1")  # nothing behind the last end
+    for pattern, to in (
+        ("[\u201c\u201d]", '"'), (r"(?<=[\[{,:]\s{0,4})'|'(?=\s*[,:}\]])", '"'), (r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":'),
+        (r":\s*True\b", ": true"), (r":\s*False\b", ": false"), (r":\s*None\b", ": null"), (r",(\s*[}\]])", "$1"), (r",\s*$", ""),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    lacks = lambda a, b: F.greatest(F.regexp_count(t, F.lit(a)) - F.regexp_count(t, F.lit(b)), F.lit(0))
+    return F.concat(t, F.repeat(F.lit("}"), lacks(r"\{", r"\}")), F.repeat(F.lit("]"), lacks(r"\[", r"\]")))
+
+
+def parse_answer(text: Column, repair: bool = False) -> Column:
+    """The score records of an answer: the whole text as JSON, else its first bracketed list, else a single object, else (if
+    asked for) what a repair makes of it; null where none of them is readable or any record lacks its id or a number. Truth
+    values are no numbers."""
     array = f"array<{RECORD}>"
     t = F.trim(text)
     whole = F.when(t.startswith("["), F.from_json(t, array))
     one = F.when(t.startswith("{"), F.array(F.from_json(t, RECORD)))
     inside = F.from_json(F.nullif(F.regexp_extract(t, r"(?s)\[.*?\]", 0), F.lit("")), array)
+    readable = lambda rs: F.when((F.size(rs) > 0) & F.forall(rs, lambda r: F.coalesce(r["id"], r["post_id"]).isNotNull()), rs)
     found = F.coalesce(F.when(F.size(whole) >= 0, whole), one, inside)
+    if repair:
+        r = repaired(t)
+        found = F.coalesce(readable(found), F.when(r.startswith("["), F.from_json(r, array)), F.when(r.startswith("{"), F.array(F.from_json(r, RECORD))))
     number = lambda c: c.try_cast("double")
     truth = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("false")))).isin("true", "1", "yes", "y")
     whole_score = lambda c: F.when(number(c) >= 0, F.floor(number(c))).otherwise(F.ceil(number(c))).cast("int")
