@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -100,7 +101,7 @@ def leak_count(col: Column, allowed: list[str], patterns: list[str]) -> Column:
 
 def strip_entry_prefix(col: Column) -> Column:
     """Without an import prefix such as Entry0123."""
-    return F.regexp_replace(col, r"^\s*Entry\s*\d+\s*[:.\-]?\s*", "")
+    return F.regexp_replace(col, r"(?i)^Entry\s*\d+\s*[:\-–—]?\s*", "")
 
 
 def ago(epoch: Column, now: Column) -> Column:
@@ -135,3 +136,40 @@ def grid_search(configs: list[dict], score: Callable[[dict], dict], floor: int)
         raise ValueError("no configurations")
     enough = [t for t in tried if t["n_clusters"] >= floor] or tried
     return max(enough, key=lambda t: t["score"])
+
+
+class Resilient:
+    """A client that tries again: up to ``tries`` calls with growing pauses, no more than ``per_minute`` a minute, and none
+    at all for ``rest`` calls after ``breaker`` batches in a row have failed. A batch that fails for good gives nulls, which
+    mark its rows for the retry queue."""
+
+    def __init__(self, client: Callable[[list], list], tries: int = 3, pause: float = 1.0, per_minute: float | None = None, breaker: int = 5, rest: int = 10, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.client, self.tries, self.pause, self.breaker, self.rest, self.sleep, self.clock = client, tries, pause, breaker, rest, sleep, clock
+        self.gap = 60 / per_minute if per_minute else 0.0
+        self.failed = self.resting = 0
+        self.last: float | None = None
+
+    def _call(self, values: list) -> list | None:
+        for k in range(self.tries):
+            if self.gap and self.last is not None:
+                self.sleep(max(0.0, self.last + self.gap - self.clock()))
+            self.last = self.clock()
+            try:
+                got = self.client(values)
+                if len(got) == len(values):
+                    return got
+            except Exception:  # whatever an outside service throws
+                pass
+            if k + 1 < self.tries:
+                self.sleep(self.pause * 2**k)
+        return None
+
+    def __call__(self, values: list) -> list:
+        if self.resting:
+            self.resting -= 1
+            return [None] * len(values)
+        got = self._call(values)
+        self.failed = 0 if got is not None else self.failed + 1
+        if self.failed >= self.breaker:
+            self.failed, self.resting = 0, self.rest
+        return [None] * len(values) if got is None else got

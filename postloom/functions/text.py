@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -88,12 +89,14 @@ def redact_departments(col: Column, acronyms: list[str], tag: str = "[DEPARTMENT
     return F.regexp_replace(F.regexp_replace(col, DEPARTMENT, tag), rf"(?U)(?<![#\w])(?:{'|'.join(longest)})(?!\w)", tag)
 
 
-def redact_words(col: Column, words: list[str], tag: str = "[REDACTED]") -> Column:
-    """Whole words of a list, any case, as a tag; runs of the tag become one."""
-    if not words:
-        return col
-    once = F.regexp_replace(col, rf"(?i)\b(?:{'|'.join(sorted(words, key=lambda a: (-len(a), a)))})\b", tag)
-    return collapse_tags(once)
+def any_word(words: list[str], any_case: bool = True) -> str:
+    """A pattern of whole words of a list, the longest first, their signs literal."""
+    return ("(?i)" if any_case else "") + rf"\b(?:{'|'.join(re.escape(w) for w in sorted(words, key=lambda a: (-len(a), a)))})\b"
+
+
+def redact_words(col: Column, words: list[str], tag: str = "[REDACTED]", any_case: bool = True) -> Column:
+    """Whole words of a list (as written, unless ``any_case``) as a tag; runs of the tag become one."""
+    return collapse_tags(F.regexp_replace(col, any_word(words, any_case), tag)) if words else col
 
 
 def count_matches(col: Column, pattern: str) -> Column:
@@ -166,3 +169,20 @@ def noise_lines(col: Column, patterns: list[str]) -> Column:
     """The lines that match none of the patterns, joined again."""
     kept = F.filter(F.split(col, "\n"), lambda line: ~reduce(lambda a, p: a | line.rlike(p), patterns, F.trim(line) == ""))
     return F.array_join(kept, "\n")
+
+
+def longest_block(col: Column, patterns: list[str], least: int = 6) -> Column:
+    """Of the lines that match no pattern, joined where they follow each other, the longest block; null under ``least``
+    characters. Blank lines count as noise."""
+    kept = F.transform(F.filter(F.split(col, "\n"), lambda line: ~reduce(lambda a, p: a | F.trim(line).rlike(p), patterns, strip(line) == "")), strip)
+    block = F.array_join(kept, "\n")
+    return F.when(F.length(block) >= least, block)
+
+
+def escape_html(col: Column) -> Column:
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")), col)
+
+
+def highlight_tags(col: Column) -> Column:
+    """Tags such as [REDACTED_NAME] inside marks for display."""
+    return F.regexp_replace(col, r"(\[REDACTED_[A-Z_]+\])", "<mark>$1</mark>")

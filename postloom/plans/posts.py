@@ -201,7 +201,7 @@ def truncated(spark, d):
 def redacted_words(spark, d):
     """The listed flag terms as tags, with the number of replacements."""
     terms = [r.term for r in table(spark, d, "flag_terms").where("term IS NOT NULL").select("term").distinct().toLocalIterator()]  # a fixed list
-    pattern = r"(?i)\b(?:" + "|".join(sorted(terms, key=lambda a: (-len(a), a))) + r")\b"
+    pattern = T.any_word(terms)
     p = _posts(spark, d, "text").where("text IS NOT NULL")
     return p.select("row_id", T.redact_words(F.col("text"), terms, "[TERM]").alias("redacted_text"), T.count_matches(F.col("text"), pattern).alias("n_terms"))
 

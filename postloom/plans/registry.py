@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["nested_labels", "instants", "posts", "topics", "scores", "events", "flows", "pages", "walls", "cleaning", "quality"]
+MODULES = ["nested_labels", "instants", "posts", "topics", "scores", "events", "flows", "pages", "walls", "cleaning", "quality", "tools"]
 
 
 def _collect(kind: str) -> dict:

@@ -7,6 +7,7 @@ Blank lines never count. A missing or empty folder gives an empty table where th
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.functions.text import strip
+
 POST = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("post_id", "text", "timestamp_iso", "timestamp_raw", "post_url", "source")]
     + [T.StructField("engagement", T.StructType([T.StructField(c, T.StringType()) for c in ("reactions", "comments", "shares")]))]
@@ -34,15 +37,22 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_by_source(spark: SparkSession, folder: str, schema: T.StructType, known: DataFrame | None = None) -> DataFrame:
-    """All ``<code>.jsonl`` files of a folder with ``source_code`` from the file name; unknown codes are left out."""
-    df = read_jsonl(spark, f"{folder}/*.jsonl", schema, "drop").withColumn("source_code", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
-    return df if known is None else df.join(known.select("source_code").distinct(), "source_code", "left_semi")
+def read_by_source(spark: SparkSession, folder: str, schema: T.StructType, known: DataFrame | None = None, malformed: str = "fail") -> DataFrame:
+    """All ``<code>.jsonl`` files of a folder with ``source_code`` from the file name; files of unknown codes are left out,
+    with a warning that names them."""
+    df = read_jsonl(spark, f"{folder}/*.jsonl", schema, malformed).withColumn("source_code", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
+    if known is None:
+        return df
+    codes = known.select("source_code").distinct()
+    unknown = [r.source_code for r in df.select("source_code").distinct().join(codes, "source_code", "left_anti").limit(100).toLocalIterator()]
+    if unknown:
+        warnings.warn(f"files of unknown sources are left out: {', '.join(sorted(unknown))}", stacklevel=2)
+    return df.join(codes, "source_code", "left_semi")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines of text files without blank ones and comments (#)."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' AND value NOT LIKE '#%'")
+    return spark.read.text(path).select(strip(F.col("value")).alias("value")).where("value <> '' AND value NOT LIKE '#%'")
 
 
 def read_yaml_table(spark: SparkSession, path: str, schema: str, overlay: str | None = None, key: str | None = None) -> DataFrame:
