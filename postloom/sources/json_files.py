@@ -37,9 +37,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_by_source(spark: SparkSession, folder: str, schema: T.StructType, known: DataFrame | None = None, malformed: str = "fail") -> DataFrame:
+def read_by_source(spark: SparkSession, folder: str, schema: T.StructType, known: DataFrame | None = None, malformed: str = "drop") -> DataFrame:
     """All ``<code>.jsonl`` files of a folder with ``source_code`` from the file name; files of unknown codes are left out,
-    with a warning that names them."""
+    with a warning that names them. Malformed lines are dropped, fail the read or are kept, as ``malformed`` asks."""
     df = read_jsonl(spark, f"{folder}/*.jsonl", schema, malformed).withColumn("source_code", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
     if known is None:
         return df

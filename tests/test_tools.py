@@ -106,7 +106,7 @@ def test_sources_warn_and_fail(spark, tmp_path):
     assert any("ZZ" in str(x.message) for x in w)
     (tmp_path / "AA.jsonl").write_text("{broken\n")
     with pytest.raises(Exception, match="(?i)malformed"):
-        read_by_source(spark, str(tmp_path), POST).collect()
+        read_by_source(spark, str(tmp_path), POST, malformed="fail").collect()
     assert read_by_source(spark, str(tmp_path), POST, malformed="drop").count() == 1
     (tmp_path / "words.txt").write_text("\t one \n# no\n \n two\n")
     assert sorted(r.value for r in read_lines(spark, str(tmp_path / "words.txt")).collect()) == ["one", "two"]
