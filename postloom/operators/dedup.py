@@ -60,12 +60,13 @@ def connected(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+def similar_pairs(sets: DataFrame, least: float, hot: int = 2_000) -> DataFrame:
     """All pairs (a, b), a < b, of rows of sets (id, items: array of distinct strings) whose Jaccard similarity is ``least``
     or more, with ``similarity``. Exact: no pair is lost and none is approximate.
 
     Items are ordered from rare to frequent; two sets that are similar enough share an item among the first
-    n - ceil(least * n) + 1 of each, so candidates meet on rare items only. Lengths filter before the check.
+    n - ceil(least * n) + 1 of each, so candidates meet on rare items only. Lengths filter before the check. An item with more
+    than ``hot`` sets is split over salts, its other side repeated once per salt, so that no task holds such a group whole.
     """
     # Digests keep what is shuffled narrow; equal digests of different items are beyond reach at 64 bits for sets that are then compared whole.
     each = sets.where(F.size("items") > 0).select("id", F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("h"))
@@ -73,10 +74,11 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     ordered = materialise(each.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s")).select("id", F.transform("s", lambda x: x["h"]).alias("hs"), F.size("s").alias("n")), "ordered-sets")
     prefix = ordered.select("id", "n", F.explode(F.slice("hs", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("h"))
     # An item of one set only can't make a pair.
-    shared = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.floor(F.col("c") / hot) + 1).cast("int").alias("salts"))
     prefix = prefix.join(shared, "h")
-    a, b = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    a = prefix.select("h", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"))
+    b = prefix.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["h", "salt"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
     ja, jb = ordered.select(F.col("id").alias("a"), F.col("hs").alias("ha")), ordered.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
     inter = F.size(F.array_intersect("ha", "hb"))
     return met.join(ja, "a").join(jb, "b").select("a", "b", (inter / (F.size("ha") + F.size("hb") - inter)).alias("similarity")).where(F.col("similarity") >= least)

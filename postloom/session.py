@@ -45,9 +45,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a written intermediate table in the shared folder."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes all intermediate tables that this application has written; how many. To be called once the results that
+    read them are themselves written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(conf).delete(at, True))
+    return gone
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

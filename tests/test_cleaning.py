@@ -102,3 +102,21 @@ def test_near_dedupe_is_greedy(spark):
     assert near_dedupe(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(RuntimeError):
         near_dedupe(df, "doc_id", "text", rounds=1)
+
+
+def test_hot_shingles_are_split(spark):
+    from postloom.operators.dedup import similar_pairs
+
+    sets = spark.createDataFrame([(i, [f"a{j}" for j in range(10)] + [f"b{i % 3}"]) for i in range(40)], "id long, items array<string>")
+    pairs = lambda hot: {(r.a, r.b) for r in similar_pairs(sets, 0.8, hot).collect()}
+    assert pairs(3) == pairs(10**6) and len(pairs(3)) == 40 * 39 // 2
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from postloom.session import clear_scratch, materialise
+
+    df = materialise(spark.range(3).toDF("id"), "gone")
+    folder = Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert folder.exists() and clear_scratch(spark) >= 1 and not folder.exists() and clear_scratch(spark) == 0
