@@ -19,6 +19,7 @@ from postloom.operators.anonymise import Rule, anonymised, load_schools, masked,
 from postloom.operators.dedup import keep_first, near_dedupe
 from postloom.plans import instants
 from postloom.plans.posts import _IN, WORDS
+from postloom.session import spread
 
 #: The made-up schools of this project's walls.
 SCHOOLS = """
@@ -83,7 +84,7 @@ def clean(spark: SparkSession, d: str, which: str = ALL) -> DataFrame:
     """Every post after the phases of ``which``, with ``reason`` (null: kept): 1 select, 2 anonymise, 3 noise, 4 names, 5 forms,
     6 stop words (counted elsewhere), 7 engagement, 8 instants, 9 language, 10 gate, region and exact duplicates."""
     on = phases(which)
-    p = table(spark, d, "golden_input", "row_id", "post_id", "_test_source_code", "text", "engagement").withColumnRenamed("_test_source_code", "source_code")
+    p = spread(table(spark, d, "golden_input", "row_id", "post_id", "_test_source_code", "text", "engagement"), "row_id").withColumnRenamed("_test_source_code", "source_code")
     raw = F.col("text")
     blank = raw.isNull() | (T.strip(nfkc(F.coalesce(raw, F.lit("")))) == "")
     p = p.withColumn("reason", F.when(blank, F.when(raw.isNull(), "null_text").otherwise("blank_text")) if 1 in on else F.lit(None).cast("string"))
@@ -154,13 +155,13 @@ def near_dedupe_documents(spark, d):
 def anonymised_posts(spark, d):
     """Texts after all rules, the labels of the rules that matched and the regions that they name."""
     a = anonymised(F.col("text"), _rules())
-    p = table(spark, d, "golden_input", "row_id", "text").where("text IS NOT NULL").withColumn("a", a)
+    p = spread(table(spark, d, "golden_input", "row_id", "text").where("text IS NOT NULL"), "row_id").withColumn("a", a)
     return p.select("row_id", F.col("a.text").alias("anonymised_text"), F.array_join("a.labels", ",").alias("labels"), F.array_join("a.regions", ",").alias("regions"))
 
 
 def redacted_names(spark, d):
     """Titles, listed names and departments as tags."""
-    p = table(spark, d, "golden_input", "row_id", "text").where("text IS NOT NULL")
+    p = spread(table(spark, d, "golden_input", "row_id", "text").where("text IS NOT NULL"), "row_id")
     return p.select("row_id", redact(F.col("text"), _names(spark, d)).alias("redacted_text"))
 
 

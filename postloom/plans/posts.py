@@ -10,6 +10,7 @@ from postloom.functions import text as T
 from postloom.functions.numbers import as_count
 from postloom.io import table
 from postloom.operators.dedup import keep_first, near_duplicate_classes, new_rows, rejected
+from postloom.session import spread
 
 # Function words by language for the ratio rules.
 WORDS = {
@@ -185,7 +186,7 @@ def language_rule(spark, d):
 
 
 def chart_terms(spark, d):
-    terms = _posts(spark, d, "text").select(F.explode(T.chart_terms(F.col("text"), STOP)).alias("term"))
+    terms = spread(_posts(spark, d, "text"), "row_id").select(F.explode(T.chart_terms(F.col("text"), STOP)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(TOP)
 
 
