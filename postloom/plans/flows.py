@@ -40,7 +40,7 @@ def payload_objects(spark, d):
 
 
 def page_posts(spark, d):
-    """Posts laid out as HTML pages of one wall's day and parsed again: rows whose text came back as it was."""
+    """Posts laid out as HTML pages of one wall's day and parsed again: text, reactions and next page of each."""
     p = table(spark, d, "golden_input", "row_id", "text", "engagement", "post_url").where("text IS NOT NULL")
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), "\n", "<br>")
     html = F.concat(
@@ -48,8 +48,7 @@ def page_posts(spark, d):
         F.lit("</span><a class='permalink' href='"), F.coalesce("post_url", F.lit("")), F.lit("'>link</a></article><a rel='next' href='/p2'>more</a></body></html>"),
     )
     got = parse_pages(p.select("row_id", html.alias("html")), "row_id", "html")
-    j = got.join(p.select("row_id", F.col("text").alias("stored"), F.greatest(F.coalesce("engagement.reactions", F.lit(0)), F.lit(0)).alias("r")), "row_id")
-    return j.agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("stored")).alias("n_text"), F.count_if(F.col("reactions") == F.col("r")).alias("n_reactions"), F.count_if(F.col("next_page") == "/p2").alias("n_next"))
+    return got.select("row_id", "post_no", "text", "reactions", "next_page")
 
 
 def appended_once(spark, d):
@@ -103,7 +102,7 @@ QUERIES["html_posts"] = QUERIES.pop("page_posts")
 SQL = {
     "jsonl_round_trip": "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT post_id) AS n_posts, count(engagement.reactions) AS n_reactions FROM golden_input GROUP BY 1",
     "per_source_files": "SELECT source, count(*) AS n, count(lang) AS n_lang FROM documents WHERE source IS NOT NULL GROUP BY 1",
-    "html_posts": "SELECT count(*) AS n, count(*) AS n_text, count(*) AS n_reactions, count(*) AS n_next FROM golden_input WHERE text IS NOT NULL",
+    "html_posts": "SELECT row_id, 1 AS post_no, text, greatest(coalesce(engagement.reactions, 0), 0) AS reactions, '/p2' AS next_page FROM golden_input WHERE text IS NOT NULL",
     "appended_once": "SELECT count(DISTINCT post_id) AS n, count(DISTINCT post_id) AS n_posts FROM golden_input",
     "stream_days": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x),
