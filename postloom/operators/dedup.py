@@ -6,11 +6,16 @@ order columns, which must be unique for a defined result. Empty tables give empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from postloom.functions.text import shingles, words
+from postloom.functions.text import words
 from postloom.session import materialise
 
 _RANK = "_rank_in_group"
@@ -60,28 +65,233 @@ def connected(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
+_LEVELS = [1, 3, 4]  # numbers of parts that sets are cut into
+while _LEVELS[-1] < 10**9:
+    _LEVELS.append(_LEVELS[-1] * 3 // 2)
+_ITEMS = 1_000_000  # items worked on at once
+_BITS = 1 << 24  # of the filter of ids that have a partner
+_BUCKETS = 1 << 20  # of items, for their order
+PARTS = 0.85  # the least similarity at which whole parts are compared
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64 bits of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of n words of every row as digests in order of rows, and the number of each row's; a row of fewer words is one run."""
+    size = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
+    flat = np.asarray(words.flatten()).view(np.uint64)
+    count = np.where(size == 0, 0, np.maximum(size - n + 1, 1))
+    row = np.repeat(np.arange(len(size)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(size) - size, count)
+    long = np.minimum(size, n)[row]
+    h = long.astype(np.uint64)
+    for j in range(n):
+        some = long > j
+        h[some] = _mixed(h[some] * np.uint64(0x9E3779B97F4A7C15) + flat[at[some] + j])
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)]
+    return h[new], np.bincount(row[new], minlength=len(size))
+
+
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about _ITEMS words at most."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(b.column(1).value_lengths().fill_null(0)))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _ITEMS, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _signatures(h: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature, such that two similar rows have a signature in common; h: the items of all rows, ``size``: how many of each row.
+
+    Sets of at most n items that are similar differ in at most D = 2n (1 - least) / (1 + least) items. Cut into more than D
+    parts by digest, they agree on a whole part. The number of parts is that for the larger set; the smaller makes the
+    signatures for all sizes that it may meet. One part more than needed is cut, and parts without items are left out: they
+    can be all that two sets agree on only where both have two such parts. Those sets also make the items of a prefix
+    (n - least n + 1 items in order of digests) signatures.
+    """
+    levels = np.array(_LEVELS)
+    differ = lambda n: np.floor(2 * n * (1 - least) / (1 + least) + 1e-9)
+    level = lambda n: np.searchsorted(levels, np.where(differ(n) > 0, differ(n) + 2, 1))
+    own, most = level(size), level(np.floor(size / least + 1e-9))
+    row, mixed, place = np.repeat(np.arange(len(size)), size), _mixed(h ^ np.uint64(0x5851F42D4C957F2D)), h >> np.uint64(32)
+    rows, out, bare = [], [], np.zeros(len(size), bool)
+    for more in range(int((most - own).max(initial=-1)) + 1):
+        on = (own + more <= most) & (size > 0)
+        parts = np.where(on, levels[np.minimum(own + more, len(levels) - 1)], 0)
+        first = np.cumsum(parts) - parts
+        mine = on[row]
+        cell = first[row[mine]] + ((place[mine] * parts[row[mine]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, cell, mixed[mine])
+        some = np.flatnonzero(np.bincount(cell, minlength=len(sums)))
+        of = np.repeat(np.arange(len(size)), parts)[some]
+        bare |= on & (parts - np.bincount(of, minlength=len(size)) >= 2)
+        name = ((own[of] + more).astype(np.uint64) << np.uint64(32)) + (some - first[of]).astype(np.uint64)
+        rows.append(of)
+        out.append(_mixed(sums[some] ^ _mixed(name + np.uint64(1))))
+    if bare.any():
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        head = bare[row] & (rank < (size - np.ceil(least * size - 1e-9) + 1)[row])
+        rows.append(row[head])
+        out.append(_mixed(h[head] ^ np.uint64(0xD1B54A32D192ED03)))
+    return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(out or [np.zeros(0, np.uint64)])
+
+
+def _sketches(h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """128 bits of every set, each the parity of the items that fall on it: two sets' bits differ in at most as many places as the sets in items."""
+    row, bit = np.repeat(np.arange(len(size)), size), (_mixed(h) >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(row * 128 + bit, minlength=128 * len(size)) & 1).astype(np.uint8).reshape(-1, 128)
+    words_ = np.packbits(odd, axis=1).view(np.int64)
+    return [words_[:, 0].copy(), words_[:, 1].copy()]
+
+
+def _counts(rows: DataFrame, n: int) -> np.ndarray:
+    """How many sets have an item of each of _BUCKETS buckets; that many numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(_BUCKETS, np.int64)
+        for b in _in_slices(batches):
+            out += np.bincount((_runs(b.column(1), n)[0] >> np.uint64(32)).astype(np.int64) % _BUCKETS, minlength=_BUCKETS)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["bucket", "n"])
+
+    got = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(_BUCKETS, np.int32)
+    out[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _prefixes(h: np.ndarray, size: np.ndarray, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and item of the first n - least n + 1 items of every set in one order of all items, from rare to frequent by bucket:
+    similar sets have one of these in common. An item of one set only is left out."""
+    row, c = np.repeat(np.arange(len(size)), size), counts[(h >> np.uint64(32)).astype(np.int64) % _BUCKETS]
+    order = np.lexsort((h, c, row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    order = order[(rank < (size - np.ceil(least * size - 1e-9) + 1)[row]) & (c[order] > 1)]
+    return row[order], h[order]
+
+
+def _holding(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose ids are in pairs (a, b), and some more: by a filter of fixed size, without a shuffle of rows."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(_BITS))
+    bits = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit"))
+    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"))
+    return found.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
+def _may_be_similar(least: float) -> Column:
+    """By sizes and sketches."""
+    differ = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
+    return (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (differ <= (F.col("na") + F.col("nb")) * (1 - least) / (1 + least) + 1e-9)
+
+
+_SKETCH = [("n", "n"), ("p", "p1"), ("q", "p2")]
+
+
+def _side(rows: DataFrame, side: str, *more: Column | str) -> DataFrame:
+    return rows.select(*more, F.col("id").alias(side), *(F.col(c).alias(short + side) for short, c in _SKETCH))
+
+
+def _meeting(rows: DataFrame, hot: int) -> DataFrame:
+    """Pairs of rows (sig and others) on one sig, as sides a and b; one with more than ``hot`` rows is split over salts."""
+    shared = rows.groupBy("sig").agg((F.floor(F.count("*") / hot) + 1).cast("int").alias("salts"))
+    salted = rows.join(shared, "sig")
+    a = _side(salted, "a", "sig", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    b = _side(salted, "b", "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["sig", "salt"]).where("a < b")
+
+
+def _similar(rows: DataFrame, least: float, n: int, hot: int) -> DataFrame:
+    """Pairs (a, b), a < b, and ``similarity`` of the ids of rows (id, ws: array of digests of words) whose sets of runs of n words
+    are similar. Rows with equal ids must have equal words; rows is computed several times.
+
+    Only signatures are shuffled for all rows, never texts or sets. From PARTS on these are digests of whole parts, which
+    few other rows share; below it the parts get small, and rare items with sketches of their sets take their place. What
+    meets and may be similar by size and sketch is compared whole.
+    """
+    kind = rows.schema["id"].dataType
+    ints = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    by_parts = least >= PARTS
+    counts = None if by_parts else _counts(rows, n)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _in_slices(batches):
+            h, size = _runs(b.column(1), n)
+            at, s = _signatures(h, size, least) if by_parts else _prefixes(h, size, least, counts)
+            more = [] if by_parts else [pa.array(x[at]) for x in (size, *_sketches(h, size))]
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column(0).take(pa.array(at)), *more], ["sig", "id", "n", "p1", "p2"][: 2 + len(more)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _in_slices(batches):
+            h, size = _runs(b.column(1), n)
+            hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (size, *_sketches(h, size))), hs], ["id", "n", "p1", "p2", "hs"])
+
+    of = W.partitionBy("sig")
+    schema = T.StructType([*ints("sig"), T.StructField("id", kind), *([] if by_parts else ints("n", "p1", "p2"))])
+    if by_parts:
+        met = rows.mapInArrow(sign, schema).withColumns({"lo": F.min("id").over(of), "hi": F.max("id").over(of)}).where("lo <> hi").select("sig", "id").distinct()
+        met = materialise(met.withColumns({c: F.lit(0).cast("long") for _, c in _SKETCH}), "signatures")
+        near = materialise(_meeting(met, hot).select("a", "b").distinct(), "candidates")
+    else:
+        # Both sides read one exchange; what is hot is joined apart.
+        met = rows.mapInArrow(sign, schema).repartition("sig").distinct().withColumn("c", F.count("*").over(of))
+        few, many = met.where(F.col("c") <= hot), met.where(F.col("c") > hot)
+        pairs = _side(few, "a", "sig").join(_side(few, "b", "sig"), "sig").where("a < b").where(_may_be_similar(least)).select("a", "b")
+        near = materialise(pairs.unionByName(_meeting(many, hot).where(_may_be_similar(least)).select("a", "b")).distinct(), "candidates")
+    # Few rows have a candidate; fewer are left when sketches are compared.
+    sets = materialise(_holding(rows, near).mapInArrow(whole, T.StructType([T.StructField("id", kind), *ints("n", "p1", "p2"), T.StructField("hs", T.ArrayType(T.LongType()))])), "sets")
+    if by_parts:
+        short = sets.select("id", "n", "p1", "p2").distinct()
+        near = materialise(near.join(_side(short, "a"), "a").join(_side(short, "b"), "b").where(_may_be_similar(least)).select("a", "b"), "candidates")
+    sets = _holding(sets, near).dropDuplicates(["id"])
+    ja, jb = sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
+    inter = F.size(F.array_intersect("ha", "hb"))
+    return near.join(ja, "a").join(jb, "b").select("a", "b", (inter / (F.size("ha") + F.size("hb") - inter)).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def similar_pairs(sets: DataFrame, least: float, hot: int = 2_000) -> DataFrame:
     """All pairs (a, b), a < b, of rows of sets (id, items: array of distinct strings) whose Jaccard similarity is ``least``
     or more, with ``similarity``. Exact: no pair is lost and none is approximate.
 
-    Items are ordered from rare to frequent; two sets that are similar enough share an item among the first
-    n - ceil(least * n) + 1 of each, so candidates meet on rare items only. Lengths filter before the check. An item with more
-    than ``hot`` sets is split over salts, its other side repeated once per salt, so that no task holds such a group whole.
+    What more than ``hot`` sets meet on is split over salts, its other side repeated once per salt, so that no task holds
+    such a group whole.
     """
     # Digests keep what is shuffled narrow; equal digests of different items are beyond reach at 64 bits for sets that are then compared whole.
-    each = sets.where(F.size("items") > 0).select("id", F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("h"))
-    freq = each.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = materialise(each.join(freq, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s")).select("id", F.transform("s", lambda x: x["h"]).alias("hs"), F.size("s").alias("n")), "ordered-sets")
-    prefix = ordered.select("id", "n", F.explode(F.slice("hs", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("h"))
-    # An item of one set only can't make a pair.
-    shared = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.floor(F.col("c") / hot) + 1).cast("int").alias("salts"))
-    prefix = prefix.join(shared, "h")
-    a = prefix.select("h", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["h", "salt"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    ja, jb = ordered.select(F.col("id").alias("a"), F.col("hs").alias("ha")), ordered.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
-    inter = F.size(F.array_intersect("ha", "hb"))
-    return met.join(ja, "a").join(jb, "b").select("a", "b", (inter / (F.size("ha") + F.size("hb") - inter)).alias("similarity")).where(F.col("similarity") >= least)
+    return _similar(sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("ws")), least, 1, hot)
+
+
+def _copies(df: DataFrame, id_col: str, text_col: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """id, ``head`` (the smallest id with the same words), ``k`` (a digest of the words) and ``n_words`` of every row, written once;
+    and (id: the digest, ws: the words' digests) of the rows with words, made anew from df by each reader."""
+    ws = words(F.col(text_col), pattern)
+    text = F.array_join("ws", " ")
+    tokens = df.select(F.col(id_col).alias("id"), ws.alias("ws"))
+    keyed = tokens.select("id", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("d"), F.xxhash64(text).alias("k"), F.size("ws").alias("n_words"))
+    rows = keyed.select("id", F.min("id").over(W.partitionBy("d")).alias("head"), "k", "n_words")
+    bare = df.select(ws.alias("ws")).where(F.size("ws") > 0).select(F.xxhash64(text).alias("id"), F.transform("ws", lambda x: F.xxhash64(x)).alias("ws"))
+    return materialise(rows, "copies"), bare
+
+
+def _similar_heads(rows: DataFrame, texts: DataFrame, least: float, n: int) -> DataFrame:
+    """Pairs (a, b), a < b, of heads whose texts are similar, written once."""
+    heads = rows.where("id = head AND n_words > 0").select("k", "head")
+    pairs = _similar(texts, least, n, 2_000).select("a", "b")
+    pairs = pairs.join(heads.select(F.col("k").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("k").alias("b"), F.col("head").alias("y")), "b")
+    return materialise(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "similar")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, least: float = 0.8) -> DataFrame:
@@ -91,12 +301,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5
     Rows with the same words are grouped first, so that copies are never expanded into pairs. A text without words (also
     null) is in a class of its own with the others like it.
     """
-    tokens = df.select(F.col(id_col).alias("id"), words(F.col(text_col), r"[\p{L}\p{N}]+").alias("ws"))
-    keyed = materialise(tokens.select("id", F.sha2(F.array_join("ws", " "), 256).alias("k"), F.size("ws").alias("n_words"), "ws"), "words")
-    heads = keyed.groupBy("k").agg(F.min("id").alias("head"))
-    rows = keyed.join(heads, "k").select("id", "head", "n_words", F.when(F.col("id") == F.col("head"), F.col("ws")).alias("ws"))
-    sets = rows.where("id = head AND n_words > 0").select("id", shingles(F.col("ws"), n).alias("items"))
-    pairs = materialise(similar_pairs(sets, least), "similar")
+    rows, texts = _copies(df, id_col, text_col, r"[\p{L}\p{N}]+")
+    pairs = _similar_heads(rows, texts, least, n)
     links = pairs.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
     root = connected(pairs.select("a", "b")).withColumnRenamed("id", "head")
     out = rows.select("id", "head").join(root, "head", "left").join(links, "head", "left")
@@ -111,12 +317,8 @@ def near_dedupe(df: DataFrame, id_col: str, text_col: str, n: int = 3, least: fl
     are dropped and drops those with a kept earlier partner; the number of rounds is that of the longest chain of undecided
     rows, and not reaching its end is an error, not a result.
     """
-    tokens = df.select(F.col(id_col).alias("id"), words(F.col(text_col), "[A-Za-z0-9]+").alias("ws"))
-    keyed = materialise(tokens.select("id", F.sha2(F.array_join("ws", " "), 256).alias("k"), F.size("ws").alias("n_words"), "ws"), "words")
-    heads = keyed.groupBy("k").agg(F.min("id").alias("head"))
-    rows = keyed.join(heads, "k")
-    sets = rows.where("id = head AND n_words > 0").select("id", shingles(F.col("ws"), n).alias("items"))
-    pairs = materialise(similar_pairs(sets, least).select("a", "b"), "similar")
+    rows, texts = _copies(df, id_col, text_col, "[A-Za-z0-9]+")
+    pairs = _similar_heads(rows, texts, least, n)
     open_ = pairs  # pairs both of whose rows are undecided
     dropped = None
     for _ in range(rounds):

@@ -120,3 +120,40 @@ def test_scratch_is_cleared(spark):
     df = materialise(spark.range(3).toDF("id"), "gone")
     folder = Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
     assert folder.exists() and clear_scratch(spark) >= 1 and not folder.exists() and clear_scratch(spark) == 0
+
+
+def scratch_bytes(spark, query, d):
+    """What a query writes to the shared folder."""
+    from pathlib import Path
+
+    from postloom import session
+
+    session.clear_scratch(spark)
+    query(spark, d).count()
+    written = sum(f.stat().st_size for p in session._written[spark.sparkContext.applicationId] for f in Path(p.removeprefix("file://")).rglob("*.parquet"))
+    session.clear_scratch(spark)
+    return written
+
+
+def test_near_dedupe_writes_no_texts_or_sets_of_all_rows(spark):
+    d = "/root/testdata/sf0.01"
+    assert 0 < scratch_bytes(spark, cl.near_dedupe_documents, d) < 4 * 117_824  # four times documents.parquet
+
+
+def test_signatures_lose_no_similar_sets():
+    import numpy as np
+
+    from postloom.operators import dedup
+
+    r = np.random.default_rng(5)
+    for least in (0.85, 0.9, 0.95):
+        for n in (1, 2, 3, 5, 8, 12, 20, 33, 60, 120, 400):
+            for _ in range(30):
+                a = r.integers(0, 2**63, n, dtype=np.uint64)
+                most = int(n * (1 - least) / least)  # a grows, or loses and gains, as much as it may
+                b = np.r_[a, r.integers(0, 2**63, r.integers(0, most + 1), dtype=np.uint64)] if r.random() < 0.5 else np.r_[a[r.integers(0, int(n * (1 - least)) + 1) :], r.integers(0, 2**63, 1, dtype=np.uint64)]
+                if len(np.intersect1d(a, b)) < least * len(np.union1d(a, b)):
+                    continue
+                h, size = np.r_[np.sort(a), np.sort(b)], np.array([len(a), len(b)])
+                row, sig = dedup._signatures(h, size, least)
+                assert set(sig[row == 0]) & set(sig[row == 1])
