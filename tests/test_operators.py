@@ -150,3 +150,11 @@ def test_agreement(spark):
     df = spark.createDataFrame([(1, 2, True, True), (5, 5, False, False), (9, 1, True, False), (4, 3, False, False)], "a int, b int, p boolean, q boolean")
     r = scores.agreement(df, {"v": ("a", "b")}, ("p", "q")).first()
     assert r.v_within_1 == 0.75 and r.kappa == pytest.approx(0.5) and scores.agreement(df.limit(0), {"v": ("a", "b")}, ("p", "q")).first().n == 0
+
+
+def test_near_duplicates_write_no_texts_or_sets_of_all_rows(spark):
+    from tests.test_cleaning import scratch_bytes
+
+    from postloom.plans.posts import near_duplicates
+
+    assert 0 < scratch_bytes(spark, near_duplicates, "/root/testdata/sf0.01") < 4 * 117_824  # four times documents.parquet
