@@ -181,15 +181,25 @@ def _prefixes(h: np.ndarray, size: np.ndarray, least: float, counts: np.ndarray)
     return row[order], h[order]
 
 
-def _holding(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose ids are in pairs (a, b), and some more: by a filter of fixed size, without a shuffle of rows."""
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with ``likely``: whether their id is among ids, or seems so: by a filter of fixed size, without a shuffle of rows."""
     bit = F.pmod(F.xxhash64("id"), F.lit(_BITS))
-    bits = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit"))
-    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"))
-    return found.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"), "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False)).alias("likely"))
+
+
+def _holding(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose ids are in pairs (a, b), and some more."""
+    return _likely(rows, pairs.select(F.explode(F.array("a", "b")).alias("id"))).where("likely").drop("likely")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ids; only those that may be are shuffled. rows is computed twice."""
+    marked = _likely(rows, ids)
+    return marked.where(~F.col("likely")).drop("likely").unionByName(marked.where("likely").drop("likely").join(ids, "id", "left_anti"))
 
 
 def _may_be_similar(least: float) -> Column:

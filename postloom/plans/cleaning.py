@@ -16,10 +16,10 @@ from postloom.functions import text as T
 from postloom.functions.jsonx import nfkc
 from postloom.io import table
 from postloom.operators.anonymise import Rule, anonymised, load_schools, masked, rule_table, unmasked
-from postloom.operators.dedup import keep_first, near_dedupe
+from postloom.operators.dedup import keep_first, near_dedupe, without
 from postloom.plans import instants
 from postloom.plans.posts import _IN, WORDS
-from postloom.session import spread
+from postloom.session import materialise, spread
 
 #: The made-up schools of this project's walls.
 SCHOOLS = """
@@ -142,9 +142,8 @@ def clean_report(spark, d):
 
 def clean_fully(spark, d):
     """With all phases, normalisation forms included, and near-duplicates turned away after the exact ones."""
-    p = clean(spark, d, ALL).where("reason IS NULL")
-    kept = near_dedupe(p.select("row_id", "text"), "row_id", "text").where("kept").select("row_id")
-    return p.join(kept, "row_id").select(*FINAL)
+    p = materialise(clean(spark, d, ALL).where("reason IS NULL").select(F.col("row_id").alias("id"), *FINAL), "cleaned")
+    return without(p, near_dedupe(p, "id", "text").where("NOT kept").select("id")).select(*FINAL)
 
 
 def near_dedupe_documents(spark, d):

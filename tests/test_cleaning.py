@@ -157,3 +157,9 @@ def test_signatures_lose_no_similar_sets():
                 h, size = np.r_[np.sort(a), np.sort(b)], np.array([len(a), len(b)])
                 row, sig = dedup._signatures(h, size, least)
                 assert set(sig[row == 0]) & set(sig[row == 1])
+
+
+def test_cleaning_in_full_cleans_each_post_once(spark, sf):
+    """What near-duplicate removal reads, and what is left of it, is one written table."""
+    files = cl.clean_fully(spark, sf).inputFiles()
+    assert files and not [f for f in files if "golden_input" in f]
