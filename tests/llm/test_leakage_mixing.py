@@ -81,6 +81,22 @@ def test_paraphrase_is_near(spark):
     assert x.run < 12 and x.lcs > 0.7 and x.has_answer
 
 
+def test_found_retrieves_by_cosine(spark, sf, monkeypatch):
+    """p8_found takes its candidates from the latent space, too, not from shared words alone."""
+    from postloom.llm import q_leakage as q
+
+    seen = []
+
+    def kept(*a, **k):
+        seen.append(lk.find_leaks(*a, **k))
+        return seen[-1]
+
+    monkeypatch.setattr(q, "find_leaks", kept)
+    got = q.found(spark, sf)
+    near = seen[0].where("run = 0 AND cosine >= 0.3").count()
+    assert near > 0 and got.count() == seen[0].where("run >= 12").count()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 4096])
 def test_permutation(n):
     for key in (0, 1, 12345678901):
