@@ -7,6 +7,7 @@ order columns, which must be unique for a defined result. Empty tables give empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,7 @@ while _LEVELS[-1] < 10**9:
 _ITEMS = 1_000_000  # items worked on at once
 _BITS = 1 << 24  # of the filter of ids that have a partner
 _BUCKETS = 1 << 20  # of items, for their order
+_PASSES, _PASS_ITEMS = 4, 5_000_000  # over what sets meet on: at most so many, one for so many items of all sets
 PARTS = 0.85  # the least similarity at which whole parts are compared
 
 
@@ -81,6 +83,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _by_row(order: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """order, rearranged by row; within a row it stays. 16 bits are sorted by radix."""
+    return order[np.argsort(row[order].astype(np.uint16 if rows <= 1 << 16 else np.int64), kind="stable")]
+
+
 def _runs(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct runs of n words of every row as digests in order of rows, and the number of each row's; a row of fewer words is one run."""
     size = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
@@ -93,7 +100,7 @@ def _runs(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(n):
         some = long > j
         h[some] = _mixed(h[some] * np.uint64(0x9E3779B97F4A7C15) + flat[at[some] + j])
-    order = np.lexsort((h, row))
+    order = _by_row(np.argsort(h), row, len(size))
     row, h = row[order], h[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)]
     return h[new], np.bincount(row[new], minlength=len(size))
@@ -147,12 +154,16 @@ def _signatures(h: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarr
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(out or [np.zeros(0, np.uint64)])
 
 
+_WIDE = [f"w{i}" for i in range(8)]
+
+
 def _sketches(h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """128 bits of every set, each the parity of the items that fall on it: two sets' bits differ in at most as many places as the sets in items."""
-    row, bit = np.repeat(np.arange(len(size)), size), (_mixed(h) >> np.uint64(57)).astype(np.int64)
-    odd = (np.bincount(row * 128 + bit, minlength=128 * len(size)) & 1).astype(np.uint8).reshape(-1, 128)
+    """512 bits of every set in 8 words, each the parity of the items that fall on it: two sets' bits differ in at most as many
+    places as the sets in items, also once words are folded onto each other."""
+    row, bit = np.repeat(np.arange(len(size)), size), (_mixed(h) >> np.uint64(55)).astype(np.int64)
+    odd = (np.bincount(row * 512 + bit, minlength=512 * len(size)) & 1).astype(np.uint8).reshape(-1, 512)
     words_ = np.packbits(odd, axis=1).view(np.int64)
-    return [words_[:, 0].copy(), words_[:, 1].copy()]
+    return [words_[:, i].copy() for i in range(len(_WIDE))]
 
 
 def _counts(rows: DataFrame, n: int) -> np.ndarray:
@@ -173,9 +184,9 @@ def _counts(rows: DataFrame, n: int) -> np.ndarray:
 
 def _prefixes(h: np.ndarray, size: np.ndarray, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and item of the first n - least n + 1 items of every set in one order of all items, from rare to frequent by bucket:
-    similar sets have one of these in common. An item of one set only is left out."""
+    similar sets have one of these in common. Rows are in order. An item of one set only is left out."""
     row, c = np.repeat(np.arange(len(size)), size), counts[(h >> np.uint64(32)).astype(np.int64) % _BUCKETS]
-    order = np.lexsort((h, c, row))
+    order = _by_row(np.argsort(np.minimum(c, (1 << 16) - 1).astype(np.uint16), kind="stable"), row, len(size))  # h is in order already
     rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     order = order[(rank < (size - np.ceil(least * size - 1e-9) + 1)[row]) & (c[order] > 1)]
     return row[order], h[order]
@@ -202,25 +213,35 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.where(~F.col("likely")).drop("likely").unionByName(marked.where("likely").drop("likely").join(ids, "id", "left_anti"))
 
 
-def _may_be_similar(least: float) -> Column:
+def _may_be_similar(least: float, words_: list[str]) -> Column:
     """By sizes and sketches."""
-    differ = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words_])
     return (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (differ <= (F.col("na") + F.col("nb")) * (1 - least) / (1 + least) + 1e-9)
 
 
-_SKETCH = [("n", "n"), ("p", "p1"), ("q", "p2")]
+_NARROW = ["p", "q"]  # 128 bits
+
 
+def _folded() -> list[Column]:
+    return [reduce(Column.bitwiseXOR, [F.col(w) for w in _WIDE[4 * i : 4 * i + 4]]).alias(c) for i, c in enumerate(_NARROW)]
 
-def _side(rows: DataFrame, side: str, *more: Column | str) -> DataFrame:
-    return rows.select(*more, F.col("id").alias(side), *(F.col(c).alias(short + side) for short, c in _SKETCH))
+
+def _side(rows: DataFrame, side: str, words_: list[str], *more: Column | str) -> DataFrame:
+    return rows.select(*more, F.col("id").alias(side), *(F.col(c).alias(c + side) for c in ("n", *words_)))
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may be similar by sizes and whole sketches (id, n and _WIDE)."""
+    short = sketches.select("id", "n", *_WIDE).dropDuplicates(["id"])
+    return pairs.join(_side(short, "a", _WIDE), "a").join(_side(short, "b", _WIDE), "b").where(_may_be_similar(least, _WIDE)).select("a", "b")
 
 
 def _meeting(rows: DataFrame, hot: int) -> DataFrame:
     """Pairs of rows (sig and others) on one sig, as sides a and b; one with more than ``hot`` rows is split over salts."""
     shared = rows.groupBy("sig").agg((F.floor(F.count("*") / hot) + 1).cast("int").alias("salts"))
     salted = rows.join(shared, "sig")
-    a = _side(salted, "a", "sig", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    b = _side(salted, "b", "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    a = _side(salted, "a", _NARROW, "sig", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    b = _side(salted, "b", _NARROW, "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return a.join(b, ["sig", "salt"]).where("a < b")
 
 
@@ -229,44 +250,63 @@ def _similar(rows: DataFrame, least: float, n: int, hot: int) -> DataFrame:
     are similar. Rows with equal ids must have equal words; rows is computed several times.
 
     Only signatures are shuffled for all rows, never texts or sets. From PARTS on these are digests of whole parts, which
-    few other rows share; below it the parts get small, and rare items with sketches of their sets take their place. What
-    meets and may be similar by size and sketch is compared whole.
+    few other rows share; below it the parts get small, and rare items with sketches of their sets take their place. These
+    are written once, narrow, and meet in passes, so that of many rows a part is shuffled at a time. What meets and may be
+    similar by size and sketch is compared whole.
     """
     kind = rows.schema["id"].dataType
     ints = lambda *names: [T.StructField(c, T.LongType()) for c in names]
-    by_parts = least >= PARTS
-    counts = None if by_parts else _counts(rows, n)
+    lists = lambda *names: [T.StructField(c, T.ArrayType(T.LongType())) for c in names]
+    key = T.StructField("id", kind)
+    counts = None if least >= PARTS else _counts(rows, n)
+    passes = 1 if counts is None else int(min(_PASSES, 1 + counts.sum(dtype=np.int64) // _PASS_ITEMS))
+    sigs = [f"s{k}" for k in range(passes)]
+    in_rows = lambda h, size: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
+
+    def sign_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _in_slices(batches):
+            at, s = _signatures(*_runs(b.column(1), n), least)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column(0).take(pa.array(at))], ["sig", "id"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _in_slices(batches):
             h, size = _runs(b.column(1), n)
-            at, s = _signatures(h, size, least) if by_parts else _prefixes(h, size, least, counts)
-            more = [] if by_parts else [pa.array(x[at]) for x in (size, *_sketches(h, size))]
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column(0).take(pa.array(at)), *more], ["sig", "id", "n", "p1", "p2"][: 2 + len(more)])
+            at, s = _prefixes(h, size, least, counts)
+            turn = s % np.uint64(passes)
+            each = [in_rows(s[turn == k], np.bincount(at[turn == k], minlength=len(size))) for k in range(passes)]
+            out = pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (size, *_sketches(h, size))), *each], ["id", "n", *_WIDE, *sigs])
+            yield out.filter(pa.array(np.bincount(at, minlength=len(size)) > 0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _in_slices(batches):
             h, size = _runs(b.column(1), n)
-            hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (size, *_sketches(h, size))), hs], ["id", "n", "p1", "p2", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (size, *_sketches(h, size))), in_rows(h, size)], ["id", "n", *_WIDE, "hs"])
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return materialise(_holding(rows, pairs).mapInArrow(whole, T.StructType([key, *ints("n", *_WIDE), *lists("hs")])), "sets")
 
     of = W.partitionBy("sig")
-    schema = T.StructType([*ints("sig"), T.StructField("id", kind), *([] if by_parts else ints("n", "p1", "p2"))])
-    if by_parts:
-        met = rows.mapInArrow(sign, schema).withColumns({"lo": F.min("id").over(of), "hi": F.max("id").over(of)}).where("lo <> hi").select("sig", "id").distinct()
-        met = materialise(met.withColumns({c: F.lit(0).cast("long") for _, c in _SKETCH}), "signatures")
+    if counts is None:
+        met = rows.mapInArrow(sign_parts, T.StructType([*ints("sig"), key])).withColumns({"lo": F.min("id").over(of), "hi": F.max("id").over(of)}).where("lo <> hi").select("sig", "id").distinct()
+        met = materialise(met.withColumns({c: F.lit(0).cast("long") for c in ("n", *_NARROW)}), "signatures")
         near = materialise(_meeting(met, hot).select("a", "b").distinct(), "candidates")
+        # Few rows have a candidate; fewer are left when sketches are compared.
+        sets = sets_of(near)
+        near = materialise(_alike(near, sets, least), "candidates")
     else:
-        # Both sides read one exchange; what is hot is joined apart.
-        met = rows.mapInArrow(sign, schema).repartition("sig").distinct().withColumn("c", F.count("*").over(of))
-        few, many = met.where(F.col("c") <= hot), met.where(F.col("c") > hot)
-        pairs = _side(few, "a", "sig").join(_side(few, "b", "sig"), "sig").where("a < b").where(_may_be_similar(least)).select("a", "b")
-        near = materialise(pairs.unionByName(_meeting(many, hot).where(_may_be_similar(least)).select("a", "b")).distinct(), "candidates")
-    # Few rows have a candidate; fewer are left when sketches are compared.
-    sets = materialise(_holding(rows, near).mapInArrow(whole, T.StructType([T.StructField("id", kind), *ints("n", "p1", "p2"), T.StructField("hs", T.ArrayType(T.LongType()))])), "sets")
-    if by_parts:
-        short = sets.select("id", "n", "p1", "p2").distinct()
-        near = materialise(near.join(_side(short, "a"), "a").join(_side(short, "b"), "b").where(_may_be_similar(least)).select("a", "b"), "candidates")
+        signed = materialise(rows.mapInArrow(sign_rare, T.StructType([key, *ints("n", *_WIDE), *lists(*sigs)])), "rare")
+        near = None
+        for s in sigs:
+            # Both sides read one exchange; what is hot is joined apart.
+            met = signed.select("id", "n", *_folded(), s).select(F.explode(s).alias("sig"), "id", "n", *_NARROW)
+            met = met.repartition("sig").distinct().withColumn("c", F.count("*").over(of))
+            few, many = met.where(F.col("c") <= hot), met.where(F.col("c") > hot)
+            pairs = _side(few, "a", _NARROW, "sig").join(_side(few, "b", _NARROW, "sig"), "sig").where("a < b").where(_may_be_similar(least, _NARROW)).select("a", "b")
+            pairs = pairs.unionByName(_meeting(many, hot).where(_may_be_similar(least, _NARROW)).select("a", "b"))
+            pairs = materialise(pairs.distinct(), "candidates")
+            near = pairs if near is None else near.unionByName(pairs)
+        near = materialise(_alike(near.distinct(), _holding(signed, near), least), "candidates")
+        sets = sets_of(near)
     sets = _holding(sets, near).dropDuplicates(["id"])
     ja, jb = sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
     inter = F.size(F.array_intersect("ha", "hb"))

@@ -63,6 +63,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_near_duplicates_in_passes(spark, monkeypatch):
+    """Sets that meet on rare items in several passes give the pairs of one, and those that share but a sentence are not written whole."""
+    r = random.Random(7)
+    shared = [f"s{k}" for k in range(30)]
+    texts = [(i, " ".join([*shared, *(f"w{i}x{k}" for k in range(r.randrange(20, 60)))])) for i in range(300)]
+    texts += [(1000 + i, t + " more") for i, t in texts[:20]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_classes(texts)
+    written, materialise = {}, dedup.materialise
+    monkeypatch.setattr(dedup, "materialise", lambda d, label: written.setdefault((label, len(written)), materialise(d, label)))
+    for items in (10**9, 1):
+        written.clear()
+        monkeypatch.setattr(dedup, "_PASS_ITEMS", items)
+        assert {x.doc_id: (x.copy_of, x.class_id, x.n_links) for x in dedup.near_duplicate_classes(df, "doc_id", "text").collect()} == want
+        assert sum(label == "candidates" for label, _ in written) == (2 if items > 1 else 5)
+        assert [d.count() for (label, _), d in written.items() if label == "sets"] == [40]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from postloom.session import materialise
+
+    files = lambda: {str(f) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(str(d)).rglob("shuffle_*.data")}
+    before = files()
+    df = materialise(spark.range(100_000).selectExpr("id % 977 AS k").groupBy("k").count(), "sums")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and df.count() == 977
+
+
 def test_connected_long_chain_and_empty(spark):
     chain = spark.range(0, 200).selectExpr("id AS a", "id + 1 AS b")
     assert {x.root for x in dedup.connected(chain).collect()} == {0}
