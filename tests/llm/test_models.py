@@ -145,6 +145,37 @@ def test_language_edges(spark, built):
     assert lg.Decider(empty).languages("the class is open") == {}
 
 
+def test_known_words_are_scored_without_a_call_each(built):
+    import sys
+
+    d, words = lg.Decider(built), "the professor cancelled the class before it started ang haba ng pila sa library".split()
+    want, calls = d.score(words), []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        got = d.score(words)
+    finally:
+        sys.setprofile(None)
+    assert got == want and want[1] > 4 and len(calls) < len(words)
+
+
+@pytest.mark.parametrize(
+    ("piece", "want"),
+    [
+        ("Mail me.too@x.example now", ["mail", "now"]), ("ask x [at] y (dot) z today", ["ask", "today"]), ("see www.x.y and http://a.b/c d9e fine", ["see", "and", "fine"]),
+        ("Posted: Jan 5, 2024 3:45pm PHT okay", ["okay"]), ("a1b2c three4 five٣x [six] (seven) 8", ["six", "seven"]), ("#tag @me mar 3 20 pm kumain", ["kumain"]), ("room: 12 left", ["room", "left"]),
+    ],
+)
+def test_words_that_tell_a_language(piece, want):
+    assert lg.words_of(piece) == want
+    assert lg._ADDRESS_SIGNS.search(piece) or lg._SKIP.sub(" ", piece.casefold()) == lg._SKIP_FEW.sub(" ", piece.casefold())
+
+
+def test_counts_of_held_segments():
+    c = lg._Counts()
+    c.add_held({"en": {"so so good": 1, "so good": 2}, "tl": {"so": 3}})
+    assert c.seen == {"so": [4, 3, 0, 0, 0], "good": [3, 0, 0, 0, 0], "so so": [1, 0, 0, 0, 0], "so good": [3, 0, 0, 0, 0]}
+
+
 # ---- problem 7
 
 
